@@ -1,7 +1,7 @@
 """All queries of the training-data operators."""
 
-from tallowmere.llm import queries_filters, queries_joins, queries_models, queries_tokens
+from tallowmere.llm import queries_filters, queries_joins, queries_models, queries_pages, queries_tokens
 
-MODULES = [queries_filters, queries_joins, queries_models, queries_tokens]
+MODULES = [queries_filters, queries_joins, queries_models, queries_pages, queries_tokens]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}
