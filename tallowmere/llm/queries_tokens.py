@@ -5,14 +5,19 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tallowmere.llm import sentencepiece_viterbi
 from tallowmere.llm.common import table
 from tallowmere.llm.packing import pack, pieces
 from tallowmere.llm.token_counts import count_tokens
 
-BYTE_BPE = "byte_bpe_50k.json"
+BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 CAPACITY, END_ID, TOKEN_LIMIT = 1024, 2, 512
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_viterbi.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), with_ids=False)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), TOKEN_LIMIT)
 
@@ -21,5 +26,5 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), CAPACITY, END_ID), CAPACITY)
 
 
-QUERIES = {"op7_token_counts": op7_token_counts, "op8_best_fit_packing": op8_best_fit_packing}
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op7_token_counts": op7_token_counts, "op8_best_fit_packing": op8_best_fit_packing}
 ORACLE: dict[str, str] = {}
