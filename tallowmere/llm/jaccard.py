@@ -228,3 +228,19 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     placed = placed.join(smallest, "component").select(*KEY, F.col("id").alias("class_id"), "component_id")
     out = rows.select("id", *KEY).join(placed, KEY, "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("class_id")).alias("class_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
+    """The rows of `docs` without those of a component that don't bear its number: one document of each group.
+
+    Empty texts stay, and so do rows without an id. Of rows that repeat an id of one class, one stays.
+    """
+    rows = keep(join(docs, id_col, text_col, percent, width).where(F.col(id_col).isNotNull() & (F.col("n_shingles") > 0)), "components")
+    gone = rows.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    left = docs.join(bounded(gone, BROADCAST_IDS), id_col, "left_anti")
+    repeated = keep(rows.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).count().where("count > 1").select(id_col), "repeated")
+    if repeated.isEmpty():
+        return left.select(*docs.columns)
+    repeated = bounded(repeated, BROADCAST_IDS)
+    once = left.join(repeated, id_col, "left_semi").dropDuplicates([id_col])
+    return left.join(repeated, id_col, "left_anti").unionByName(once).select(*docs.columns)

@@ -102,16 +102,23 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else df
 
 
-def _grouped(stats: DataFrame) -> DataFrame:
-    """The vectors with the key of the group that judges them; null where no group is large enough."""
+def _keyed(stats: DataFrame) -> DataFrame:
     key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null"))
-    rows = stats.withColumns({"_l": key("lang"), "_s": key("source")})
-    sizes = rows.groupBy("_l", "_s").agg(F.count("*").alias("_n"))
+    return stats.withColumns({"_l": key("lang"), "_s": key("source")})
+
+
+def _groups(stats: DataFrame) -> DataFrame:
+    """The key of the group that judges each language and source; null where none is large enough."""
+    sizes = _keyed(stats).groupBy("_l", "_s").agg(F.count("*").alias("_n"))
     own = F.col("_n") >= MIN_ROWS
     rest = sizes.where(~own).groupBy("_l").agg(F.sum("_n").alias("_rest"))
-    groups = keep(sizes.join(rest, "_l", "left").select("_l", "_s", F.when(own, F.concat_ws("\u0001", "_l", "_s")).when(F.col("_rest") >= MIN_ROWS, F.concat(F.col("_l"), F.lit("\u0001*"))).alias("_g")), "groups")
+    return keep(sizes.join(rest, "_l", "left").select("_l", "_s", F.when(own, F.concat_ws("\u0001", "_l", "_s")).when(F.col("_rest") >= MIN_ROWS, F.concat(F.col("_l"), F.lit("\u0001*"))).alias("_g")), "groups")
+
+
+def _grouped(stats: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows with their vectors and group keys."""
     vector = {f"x{k}": F.expr(f"cast(round({ONE} * ({sql})) as bigint)") for k, (sql, _) in enumerate(VECTOR)}
-    return rows.join(_bounded(groups), ["_l", "_s"]).drop("_l", "_s").withColumns(vector)
+    return _keyed(stats).join(_bounded(groups), ["_l", "_s"], "left").drop("_l", "_s").withColumns(vector)
 
 
 def _triangle() -> list[tuple[int, int]]:
@@ -177,12 +184,30 @@ def mcd(rows: DataFrame) -> DataFrame:
     return best.select("_g", "k.*")
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_words, n_symbols, ..., base_failed, kept and the distance (null: not judged) of every row."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(statistics, groups, estimates) of a corpus, each written to the shared folder."""
     stats = keep(statistics(docs, id_col, text_col), "statistics")
-    rows = _grouped(stats)
+    groups = _groups(stats)
+    return stats, groups, keep(mcd(_grouped(stats, groups)), "estimates")
+
+
+def _verdicts(stats: DataFrame, groups: DataFrame, estimates: DataFrame) -> DataFrame:
     shrink = SUPPORT / chi_square_cdf(chi_square_quantile(SUPPORT, DIM), DIM + 2)
-    limit = chi_square_quantile(CUTOFF, DIM)
-    estimates = mcd(rows)
-    judged = _distance(rows.join(_bounded(keep(estimates, "estimates")), "_g", "left")).withColumn("distance", F.col("d2") / shrink)
-    return judged.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce(F.col("distance") <= limit, F.lit(True))).alias("kept"), "distance")
+    near = F.coalesce(F.col("distance") <= chi_square_quantile(CUTOFF, DIM), F.lit(True))
+    rows = _distance(_grouped(stats, groups).join(_bounded(estimates), "_g", "left"))
+    return rows.withColumn("distance", F.col("d2") / shrink).withColumn("kept", ~F.col("base_failed") & near)
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, n_words, n_symbols, ..., base_failed, kept and the distance (null: not judged) of every row."""
+    rows = _verdicts(*fit(docs, id_col, text_col))
+    return rows.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
+def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, with all their columns, that are kept. Texts are judged anew in place rather than joined to verdicts."""
+    _, groups, estimates = fit(docs, id_col, text_col)
+    carried = docs.select(F.struct(*docs.columns).alias("_row"), F.col("lang"), F.col("source"), F.col(text_col).alias("_whole"))
+    # The row number keeps the optimiser from moving the filter below, and so repeating, all that its columns are made of.
+    stats = statistics(carried, "_row", "_whole").withColumn("_at", F.monotonically_increasing_id())
+    return _verdicts(stats, groups, estimates).where("kept").select("_row.*")

@@ -33,6 +33,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallowmere.llm.common import keep, text_or_empty
 
@@ -138,8 +139,8 @@ def featured(rows: DataFrame, lexicon: tuple[frozenset, frozenset], also: list[s
             dense = [features(t, sure, likely) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in also), pa.array(dense, pa.list_(pa.float64()))], [*also, "dense"])
 
-    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in also)
-    return rows.select(*also, "text").mapInArrow(scan, f"{kinds}, dense array<double>")
+    schema = T.StructType([*(rows.schema[c] for c in also), T.StructField("dense", T.ArrayType(T.DoubleType()))])
+    return rows.select(*also, "text").mapInArrow(scan, schema)
 
 
 def _assembled(rows: DataFrame) -> DataFrame:
@@ -165,16 +166,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return lexicon, trees, calibration, share
 
 
-def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
-    """id_col, the `also` columns and a calibrated score from 0 to 1 for every row."""
+def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col and a calibrated score from 0 to 1 for every row. `id_col` may be a struct of columns to carry along."""
     lexicon, trees, calibration, share = model
-    rows = docs.select(F.col(id_col), *also, text_or_empty(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("_key"), text_or_empty(text_col).alias("text"))
     if trees is None:
-        return rows.select(id_col, *also, F.lit(float(share)).alias("score"))
-    scored = trees.transform(_assembled(featured(rows, lexicon, [id_col, *also]))).withColumn("p", vector_to_array("probability")[1])
+        return rows.select(F.col("_key").alias(id_col), F.lit(float(share)).alias("score"))
+    scored = trees.transform(_assembled(featured(rows, lexicon, ["_key"]))).withColumn("p", vector_to_array("probability")[1])
     calibrated = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("calibrated")))
     # The calibrated value steps; a hundredth of the raw one orders texts within a step.
-    return calibration.transform(scored).select(id_col, *also, (0.99 * calibrated + 0.01 * F.col("p")).alias("score"))
+    return calibration.transform(scored).select(F.col("_key").alias(id_col), (0.99 * calibrated + 0.01 * F.col("p")).alias("score"))
+
+
+def below(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, with all their columns, that score less than `threshold`."""
+    carried = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_whole"))
+    return score(carried, train(docs, labels, id_col, text_col), "_row", "_whole").where(F.col("score") < threshold).select("_row.*")
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
