@@ -6,10 +6,10 @@ differ is at most the symmetric difference. For a similarity of t that is at mos
 both sizes together: a size band with one part more than that has an equal part in every linked pair.
 
 1. Documents with the same set form a class; one of each goes on.
-2. Each emits its first parts, as many as the bound for its size asks for, in its size band and, if a larger
-   partner may lie there, in the next. Empty parts say nothing and are left out; a band has so many parts
-   to spare that an equal one that isn't empty remains, except where a set leaves more parts empty than
-   that. Such a set emits its empty parts too, to meet others of its kind.
+2. Each emits its first parts that aren't empty, one more than the bound for its size and its partners', in
+   its size band and in the next if a larger partner may lie there. The shorter of two such prefixes holds
+   more filled parts than can differ, so linked sets share one. A set that leaves too many parts empty
+   emits all it has, and its empty parts too, to meet others of its kind.
 3. Classes that share a part are candidates of the smallest among them, not of each other: a group of
    copies gives a star. A bit sketch (each shingle flips one of 512 bits) drops candidates whose
    Hamming distance exceeds the bound, and the rest is verified on whole texts.
@@ -43,7 +43,7 @@ WIDTH, PERCENT = 5, 80
 BITS = 512
 #: Ids of candidates up to this many are broadcast to pick their texts; beyond, texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-BAND_RATIO = 1.5
+BAND_RATIO = 2
 
 
 class Bands:
@@ -58,39 +58,40 @@ class Bands:
             self.edges.append(max(self.edges[-1] + 1, math.ceil(self.edges[-1] * BAND_RATIO)))
         return int(np.searchsorted(self.edges, n, "right")) - 1
 
-    def plan(self, band: int) -> tuple[int, int, int]:
-        """(parts, largest difference, parts to spare) of a band."""
+    def most(self, n: int, band: int) -> int:
+        """How many shingles a set of `n` and a linked one that isn't smaller, or lies in the same band, may differ in."""
+        return math.floor((n + min(n * 100 // self.percent, self.edges[band + 1] - 1)) * self.share + 1e-9)
+
+    def parts(self, band: int) -> int:
+        """Parts of a band: as many as its largest sets must fill, and some that stay empty."""
         if band not in self.plans:
-            low, high = self.edges[band], self.edges[band + 1] - 1
-            most = math.floor(2 * high * self.share + 1e-9)
-            empty = (most + 1) * math.exp(-low / (most + 1))
-            spare = math.ceil(empty + 6 * math.sqrt(empty)) if most else 0
-            self.plans[band] = (most + 1 + spare, most, spare)
+            high = self.edges[band + 1] - 1
+            filled = self.most(high, band) + 1
+            empty = filled * math.exp(-high / filled)
+            self.plans[band] = filled + math.ceil(empty + 6 * math.sqrt(empty))
         return self.plans[band]
 
-    def of(self, n: int) -> list[int]:
-        """The bands in which a set of `n` may be linked: its own, and the next if a linked larger set may lie there."""
-        own = self.band(n)
-        return [own, own + 1] if self.band(n * 100 // self.percent) > own else [own]
+    def of(self, n: int) -> range:
+        """The bands in which a set of `n` may be linked: its own, and those where a linked larger set may lie."""
+        return range(self.band(n), self.band(n * 100 // self.percent) + 1)
 
     def signatures(self, members: np.ndarray) -> np.ndarray:
         """A 64-bit number for each part that the set emits; equal parts of a band have equal numbers."""
         n, out = len(members), []
         for band in self.of(n):
-            parts, most, spare = self.plan(band)
+            most = self.most(n, band)
             if not most:  # only equal sets are that similar
                 continue
-            # a partner is at most 100 / percent times as large
-            emitted = min(parts, min(math.floor(n * (1 + 100 / self.percent) * self.share + 1e-9), most) + 1 + spare)
+            parts = self.parts(band)
             part = ((members >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
-            inside = part < emitted
-            order = np.argsort(part[inside], kind="stable")
-            part, value = part[inside][order], mix(members[inside][order] + np.uint64(1))
-            starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
-            folded = np.bitwise_xor.reduceat(value, starts) if len(part) else value
-            filled = part[starts]
-            if emitted - len(filled) > spare:
-                empty = np.setdiff1d(np.arange(emitted), filled)
+            order = np.argsort(part, kind="stable")
+            part, value = part[order], mix(members[order] + np.uint64(1))
+            starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            filled, folded = part[starts], np.bitwise_xor.reduceat(value, starts)
+            if len(filled) > most:
+                filled, folded = filled[: most + 1], folded[: most + 1]
+            else:
+                empty = np.setdiff1d(np.arange(parts), filled)
                 filled, folded = np.r_[filled, empty], np.r_[folded, np.zeros(len(empty), np.uint64)]
             out.append(mix(folded + mix(filled.astype(np.uint64) + np.uint64(band << 32))))
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
@@ -112,10 +113,10 @@ def _key(members: np.ndarray) -> tuple[int, int, int]:
 
 
 def describe(docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
-    """Every row's id, the key of its set, its bit sketch and its signatures."""
+    """Every row's id, the key of its set, its bit sketch and, for the first of equal sets in a task, its signatures."""
 
     def run(batches):
-        bands = Bands(percent)
+        bands, seen = Bands(percent), set()
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
@@ -124,7 +125,9 @@ def describe(docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT
                     members = shingle_set(text, width)
                     keys.append(_key(members) if len(members) else (0, 0, 0))
                     sketches.append(bit_sketch(members))
-                    signatures.append(bands.signatures(members).view(np.int64) if len(members) else np.zeros(0, np.int64))
+                    first = len(members) and keys[-1] not in seen
+                    signatures.append(bands.signatures(members).view(np.int64) if first else np.zeros(0, np.int64))
+                    seen.add(keys[-1])
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(s) for s in signatures])], pa.int32()), pa.array(np.concatenate(signatures)))
                 words = np.stack(sketches)
                 yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(c, pa.int64()) for c in zip(*keys)), *(pa.array(words[:, j]) for j in range(words.shape[1])), lists], ["id", *KEY, *SKETCH, "signatures"])
@@ -151,7 +154,8 @@ def _texts(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, tex
     asked = bounded(nodes.select(F.col("id").alias("_id")), BROADCAST_IDS)
     some = rows.join(asked, rows["id"].eqNullSafe(asked["_id"]), "left_semi").select("text")
     packed = some.mapInArrow(pack, ", ".join(f"{c} long" for c in KEY) + ", packed binary")
-    return keep(packed.join(nodes.select("node", *KEY), KEY).groupBy("node").agg(F.first("packed").alias("packed")), "texts")
+    once = packed.groupBy(*KEY).agg(F.first("packed").alias("packed"))
+    return keep(once.join(nodes.select("node", *KEY), KEY).select("node", "packed"), "texts")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
@@ -200,9 +204,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     full = rows.where("n_shingles > 0")
     nodes = full.groupBy(*KEY).agg(F.min("row").alias("node"), F.min("id").alias("id"), *[F.first(k).alias(k) for k in SKETCH])
     nodes = keep(nodes, "classes")
-    emitted = full.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.explode("signatures").alias("signature"), F.col("row").alias("node"))
+    # A class emits once a task at most; its first row always does, so that row leads or stands for the others.
+    emitted = full.select(F.explode("signatures").alias("signature"), F.col("row").alias("node"))
     first = F.first("node").over(W.partitionBy("signature").orderBy("node"))
-    shared = keep(emitted.withColumn("leader", first).where("node <> leader"), "shared")
+    others = full.where(F.size("signatures") > 0).select(F.col("row").alias("node")).join(nodes.select("node"), "node", "left_anti")
+    shared = keep(emitted.withColumn("leader", first).where("node <> leader").join(others, "node", "left_anti").select("signature", "node", "leader"), "shared")
 
     star = shared.groupBy("node", "leader").agg(F.count("*").alias("parts"))
     a, b = nodes.alias("a"), nodes.alias("b")
