@@ -103,6 +103,23 @@ def bit_sketch(members: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def wide_sketch(members: np.ndarray) -> bytes:
+    """Parities of the shingles of as many bits, a power of two, as the set has members or up to twice that."""
+    bits = 1 << max(9, len(members).bit_length())
+    odd = np.bincount((members % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Hamming distance of two wide sketches, the longer one's halves folded onto each other first."""
+    a, b = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(a) != len(b):
+        if len(a) < len(b):
+            a, b = b, a
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.unpackbits(a ^ b).sum())
+
+
 KEY = ["n_shingles", "x", "y"]
 SKETCH = [f"k{j}" for j in range(BITS // 64)]
 
@@ -138,7 +155,7 @@ def describe(docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT
 
 
 def _texts(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(node, packed text) of the nodes in `pairs`, written once: read from the documents that bear the nodes' ids."""
+    """(node, n_shingles, wide sketch, packed text) of the nodes in `pairs`, written once: read from the documents that bear the nodes' ids."""
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     nodes = keep(nodes.join(asked, "node", "left_semi").select("node", "id", *KEY), "asked")
 
@@ -147,19 +164,31 @@ def _texts(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, tex
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 texts = part.column("text").to_pylist()
-                keys = [_key(s) if len(s := shingle_set(t, width)) else (0, 0, 0) for t in texts]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*keys)), pa.array([zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in texts], pa.binary())], [*KEY, "packed"])
+                sets = [shingle_set(t, width) for t in texts]
+                keys = [_key(s) if len(s) else (0, 0, 0) for s in sets]
+                packed = [zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in texts]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*keys)), pa.array([wide_sketch(s) for s in sets], pa.binary()), pa.array(packed, pa.binary())], [*KEY, "wide", "packed"])
 
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     asked = bounded(nodes.select(F.col("id").alias("_id")), BROADCAST_IDS)
     some = rows.join(asked, rows["id"].eqNullSafe(asked["_id"]), "left_semi").select("text")
-    packed = some.mapInArrow(pack, ", ".join(f"{c} long" for c in KEY) + ", packed binary")
-    once = packed.groupBy(*KEY).agg(F.first("packed").alias("packed"))
-    return keep(once.join(nodes.select("node", *KEY), KEY).select("node", "packed"), "texts")
+    packed = some.mapInArrow(pack, ", ".join(f"{c} long" for c in KEY) + ", wide binary, packed binary")
+    once = packed.groupBy(*KEY).agg(F.first("wide").alias("wide"), F.first("packed").alias("packed"))
+    return keep(once.join(nodes.select("node", *KEY), KEY).select("node", "n_shingles", "wide", "packed"), "texts")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose similarity is `percent` or more."""
+    """The pairs (a, b) of nodes whose similarity is `percent` or more.
+
+    Wide sketches, far smaller than texts, go first: their distance is at most the symmetric difference.
+    """
+
+    def near(batches):
+        for b in batches:
+            a_, b_, sizes = b.column("a"), b.column("b"), zip(b.column("n_a").to_pylist(), b.column("n_b").to_pylist())
+            fits = [(100 + percent) * differing(x, y) <= (100 - percent) * (n + m) for x, y, (n, m) in zip(b.column("wide_a").to_pylist(), b.column("wide_b").to_pylist(), sizes)]
+            mask = pa.array(fits, pa.bool_())
+            yield pa.RecordBatch.from_arrays([a_.filter(mask), b_.filter(mask)], ["a", "b"])
 
     def check(batches):
         last: tuple = (None, None)
@@ -174,6 +203,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> D
                     keep_.append(k)
             yield pa.RecordBatch.from_arrays([pa.array([a_[k] for k in keep_], pa.int64()), pa.array([b_[k] for k in keep_], pa.int64())], ["a", "b"])
 
+    sketches = [texts.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("wide").alias(f"wide_{c}")) for c in "ab"]
+    pairs = pairs.join(sketches[1], "b").join(sketches[0], "a").select("a", "b", "n_a", "n_b", "wide_a", "wide_b").mapInArrow(near, "a long, b long")
     left = texts.select(F.col("node").alias("a"), F.col("packed").alias("packed_a"))
     right = texts.select(F.col("node").alias("b"), F.col("packed").alias("packed_b"))
     return pairs.join(right, "b").join(left, "a").select("a", "b", "packed_a", "packed_b").mapInArrow(check, "a long, b long")
