@@ -205,9 +205,6 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, with all their columns, that are kept. Texts are judged anew in place rather than joined to verdicts."""
-    _, groups, estimates = fit(docs, id_col, text_col)
+    """The rows of `docs`, with all their columns, that are kept. Rows are written with their counts rather than joined to verdicts by an id."""
     carried = docs.select(F.struct(*docs.columns).alias("_row"), F.col("lang"), F.col("source"), F.col(text_col).alias("_whole"))
-    # The row number keeps the optimiser from moving the filter below, and so repeating, all that its columns are made of.
-    stats = statistics(carried, "_row", "_whole").withColumn("_at", F.monotonically_increasing_id())
-    return _verdicts(stats, groups, estimates).where("kept").select("_row.*")
+    return _verdicts(*fit(carried, "_row", "_whole")).where("kept").select("_row.*")
