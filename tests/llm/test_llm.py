@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -220,6 +221,19 @@ def test_jaccard_against_brute_force(spark, seed):
     assert left == [k for k, (w, s) in enumerate(zip(want, sizes)) if w == k or not s]
 
 
+def test_jaccard_against_sql(spark):
+    from tallowmere.llm.queries_joins import ORACLE, QUERIES
+
+    (name,), sf = ORACLE, "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    found = con.execute(ORACLE[name])
+    names = [d[0] for d in found.description]
+    rows = QUERIES[name](spark, sf)
+    assert sorted(names) == sorted(rows.columns)
+    assert sorted(tuple(r) for r in rows.select(*names).collect()) == sorted(found.fetchall())
+
+
 def test_jaccard_edges(spark, docs, nothing):
     out = jaccard.join(docs).collect()
     assert len(out) == docs.count() and jaccard.join(nothing).count() == 0
