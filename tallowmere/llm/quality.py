@@ -15,7 +15,8 @@ are fixed-point integers: sums don't depend on the order of rows, and results re
 
 Null and empty texts have no words (base_failed, not kept). A null language or source is a group of its
 own. A group of fewer than `MIN_ROWS` rows is judged with its language's other small groups; if those are
-still fewer, only the base rules hold. Repeated rows are judged each on their own.
+still fewer, by the estimate of its whole language, and if that is too small, by that of the whole corpus,
+of whatever size: every row gets a distance. Repeated rows are judged each on their own.
 """
 
 from __future__ import annotations
@@ -108,11 +109,15 @@ def _keyed(stats: DataFrame) -> DataFrame:
 
 
 def _groups(stats: DataFrame) -> DataFrame:
-    """The key of the group that judges each language and source; null where none is large enough."""
+    """For each language and source the key of the group that judges it, and all groups that its rows are part of."""
     sizes = _keyed(stats).groupBy("_l", "_s").agg(F.count("*").alias("_n"))
-    own = F.col("_n") >= MIN_ROWS
-    rest = sizes.where(~own).groupBy("_l").agg(F.sum("_n").alias("_rest"))
-    return keep(sizes.join(rest, "_l", "left").select("_l", "_s", F.when(own, F.concat_ws("\u0001", "_l", "_s")).when(F.col("_rest") >= MIN_ROWS, F.concat(F.col("_l"), F.lit("\u0001*"))).alias("_g")), "groups")
+    own, rest, whole = F.col("_n") >= MIN_ROWS, F.col("_rest") >= MIN_ROWS, F.col("_whole") >= MIN_ROWS
+    languages = sizes.groupBy("_l").agg(F.sum(F.when(~own, F.col("_n"))).alias("_rest"), F.sum("_n").alias("_whole"))
+    tail = languages.agg(F.max(~whole).alias("_tail"))
+    key = F.when(own, F.concat_ws("\u0001", "_l", "_s")).when(rest, F.concat(F.col("_l"), F.lit("\u0001*")))
+    language, corpus = F.concat(F.lit("+"), F.col("_l")), F.lit("*")  # languages' keys begin otherwise
+    parts = F.array(key, F.when((F.col("_rest") < MIN_ROWS) & whole, language), F.when(F.col("_tail"), corpus))
+    return keep(sizes.join(languages, "_l").crossJoin(F.broadcast(tail)).select("_l", "_s", F.coalesce(key, F.when(whole, language), corpus).alias("_g"), F.array_compact(parts).alias("_parts")), "groups")
 
 
 def _grouped(stats: DataFrame, groups: DataFrame) -> DataFrame:
@@ -168,8 +173,8 @@ def _medians(rows: DataFrame) -> DataFrame:
 
 
 def mcd(rows: DataFrame) -> DataFrame:
-    """One estimate for each group key of `rows`."""
-    rows = rows.where("_g IS NOT NULL")
+    """One estimate for each group key of `rows`, which are counted in all groups that they are part of."""
+    rows = rows.select(F.explode("_parts").alias("_g"), *[f"x{i}" for i in range(DIM)])
     everyone = _estimate(rows.groupBy("_g").agg(*[F.expr(sql).alias(name) for name, sql in _sums()]).withColumn("_start", F.lit(1)))
     at = keep(_medians(rows).unionByName(everyone), "mcd")
     names = [name for name, _ in _sums()]
@@ -193,13 +198,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tupl
 
 def _verdicts(stats: DataFrame, groups: DataFrame, estimates: DataFrame) -> DataFrame:
     shrink = SUPPORT / chi_square_cdf(chi_square_quantile(SUPPORT, DIM), DIM + 2)
-    near = F.coalesce(F.col("distance") <= chi_square_quantile(CUTOFF, DIM), F.lit(True))
-    rows = _distance(_grouped(stats, groups).join(_bounded(estimates), "_g", "left"))
+    near = F.col("distance") <= chi_square_quantile(CUTOFF, DIM)
+    rows = _distance(_grouped(stats, groups).drop("_parts").join(_bounded(estimates), "_g", "left"))
     return rows.withColumn("distance", F.col("d2") / shrink).withColumn("kept", ~F.col("base_failed") & near)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_words, n_symbols, ..., base_failed, kept and the distance (null: not judged) of every row."""
+    """id_col, n_words, n_symbols, ..., base_failed, kept and the distance of every row."""
     rows = _verdicts(*fit(docs, id_col, text_col))
     return rows.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 

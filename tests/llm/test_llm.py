@@ -144,6 +144,18 @@ def test_quality_outliers_go_and_clean_stay(spark):
     assert sorted(r.doc_id for r in quality.accepted(frame).collect()) == sorted(k for k, r in out.items() if r.kept)
 
 
+def test_quality_judges_small_groups(spark):
+    lang = lambda k: ("en", "big") if k < 300 else ("en", "small") if k < 320 else (None, "s") if k < 325 else ("fr", f"s{k % 3}")
+    rows = [(k, prose(random.Random(k).randint(60, 600), k), *lang(k)) for k in range(350)]
+    bad = [(1000 + k, re.sub(r"(\w+)", r"\1***###", prose(200, k)), *lang(300 + 10 * k)) for k in range(5)]
+    whole = spark.createDataFrame(rows + bad, "doc_id bigint, text string, lang string, source string")
+    for frame in (whole, whole.where("doc_id < 100 OR doc_id BETWEEN 320 AND 350 OR doc_id > 1001")):  # the second has under 200 rows
+        out = quality.judge(frame).collect()
+        assert all(r.distance is not None for r in out) and len(out) == frame.count()
+        assert [r.doc_id for r in out if not r.base_failed and not r.kept and r.doc_id < 1000] == []
+        assert not any(r.kept for r in out if r.doc_id >= 1000)
+
+
 def test_chi_square():
     assert abs(quality.chi_square_quantile(0.95, 5) - 11.0705) < 1e-3 and abs(quality.chi_square_cdf(3.84146, 1) - 0.95) < 1e-5
 
