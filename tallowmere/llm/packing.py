@@ -2,9 +2,9 @@
 
 Documents become pieces of at most `capacity` tokens where they are read. The pieces, without their ids,
 are written once to the shared folder and dealt at random (by a seed) into shards of about `shard_pieces`;
-a shard is packed in one task by best fit, longest first, and then searched: between two underfull bins a
-piece moves, or one or two pieces are exchanged for one, whenever that increases the sum of squared fills,
-until bins empty or nothing more helps. A shard's last bins are all that sharding can cost: less than one
+a shard is packed in one task by best fit, longest first, and then searched: between any two underfull bins
+one or two pieces move, or are exchanged for one, whenever that increases the sum of squared fills, until
+there are as few bins as the pieces' sum needs or nothing more helps. A shard's last bins are all that sharding can cost: less than one
 sequence in some ten thousand. Shards have a bounded size at any scale and no key decides where a row goes.
 
 Nulls are empty texts and give one piece that holds the end id alone. Repeated rows are packed each on
@@ -14,6 +14,7 @@ their own. An empty table gives an empty table.
 from __future__ import annotations
 
 import functools
+import heapq
 import zlib
 from collections import defaultdict
 
@@ -26,7 +27,6 @@ from tallowmere.llm.bpe_words import TextEncoder
 from tallowmere.llm.common import keep, text_or_empty
 
 SHARD_PIECES = 20_000
-ROUNDS = 4
 
 
 @functools.lru_cache(maxsize=2)
@@ -88,48 +88,80 @@ def best_fit(lengths: list[int], capacity: int) -> tuple[list[list[int]], list[i
     return bins, free
 
 
-def _exchange(low: list[int], high: list[int], room: int, lengths: list[int]) -> tuple[list[int], list[int], int] | None:
-    """What to take from bin `low` and give back from `high` so that `high` grows most within its `room`."""
-    best: tuple = (0, None)
-    gives = {lengths[j]: j for j in high}
-    ones = {lengths[k]: [k] for k in low}
-    twos = {lengths[a] + lengths[b]: [a, b] for i, a in enumerate(low) for b in low[i + 1 :]} if len(low) <= 40 else {}
-    for takes in (ones, twos):
-        for n, items in takes.items():
-            if best[0] < n <= room:
-                best = (n, (items, [], n))  # a move
-            for m, j in gives.items():
-                if best[0] < n - m <= room:
-                    best = (n - m, (items, [j], n - m))  # one for one, two for one
-        if best[0] == room:
-            break
-    return best[1]
-
-
-def local_search(bins: list[list[int]], free: list[int], lengths: list[int], capacity: int, rounds: int = ROUNDS, partners: int = 64) -> list[list[int]]:
-    """Exchanges between underfull bins that increase the sum of squared fills, the emptiest bin giving, until it is empty.
-
-    A gain for the fuller bin of a pair always raises that sum. Each round visits every underfull bin as a
-    giver, against the `partners` bins that have just more fill.
+def _takes(items: list[int], lengths: list[int]) -> dict[int, list[int]]:
+    """What can be taken from a bin: one item or two of each sum."""
+    by = defaultdict(list)
+    for k in items:
+        by[lengths[k]].append(k)
+    ones = list(by)  # their sum is within the capacity, so they are few
+    twos = {a + b: [by[a][0], by[b][0]] for i, a in enumerate(ones) for b in ones[i + 1 :]}
+    twos |= {2 * a: by[a][:2] for a in ones if len(by[a]) > 1}
+    return twos | {a: by[a][:1] for a in ones}
+
+
+def local_search(bins: list[list[int]], free: list[int], lengths: list[int], capacity: int) -> list[list[int]]:
+    """Exchanges between underfull bins that increase the sum of squared fills, until there are none.
+
+    What a bin can give is kept by its sum of lengths, the emptiest bin first, so that a bin finds the
+    exchange that fills it most over all others. The sum of squares grows with each, so the search ends.
     """
-    for _ in range(rounds):
-        under = sorted((j for j, b in enumerate(bins) if b and free[j]), key=lambda j: -free[j])
-        if sum(free[j] for j in under) < capacity:
-            break
+    held: dict[int, list[tuple[int, int, int]]] = defaultdict(list)  # (fill, bin, its state) by the sum that it can give
+    state = [0] * len(bins)
+    present = 0  # bit n: a bin may hold a sum of n
+
+    def offer(j: int) -> None:
+        nonlocal present
+        state[j] += 1
+        if bins[j] and free[j]:
+            for n in _takes(bins[j], lengths):
+                heapq.heappush(held[n], (capacity - free[j], j, state[j]))
+                present |= 1 << n
+
+    def emptiest(n: int, other: int) -> int | None:
+        """The emptiest bin but `other` that can give `n`."""
+        nonlocal present
+        heap, own = held[n], None
+        while heap and (heap[0][2] != state[heap[0][1]] or heap[0][1] == other):
+            top = heapq.heappop(heap)
+            own = top if top[2] == state[top[1]] else own
+        found = heap[0][1] if heap else None
+        if own:
+            heapq.heappush(heap, own)
+        if not heap:
+            present &= ~(1 << n)
+        return found
+
+    def exchange(high: int) -> tuple[int, int, int] | None:
+        """(bin, sum to take from it, length to give back or 0) with the largest gain for `high`."""
+        room, backs = free[high], [0, *{lengths[k] for k in bins[high]}]
+        gains = 0
+        for m in backs:
+            gains |= present >> m
+        gains &= (2 << room) - 2
+        while gains:
+            gain = gains.bit_length() - 1
+            gains ^= 1 << gain
+            for m in backs:
+                if present >> (m + gain) & 1 and (low := emptiest(m + gain, high)) is not None and capacity - free[low] < capacity - room + gain:
+                    return low, m + gain, m
+        return None
+
+    left, least, changed = sum(map(bool, bins)), -(-sum(lengths) // capacity), True
+    for j in range(len(bins)):
+        offer(j)
+    while changed and left > least:
         changed = False
-        for at, low in enumerate(under):
-            for high in under[-partners:] if at + partners < len(under) else under[at + 1 :]:
-                if not bins[low]:
-                    break
-                if not bins[high] or not free[high] or free[high] > free[low] or high == low:
-                    continue
-                if found := _exchange(bins[low], bins[high], free[high], lengths):
-                    take, give, gain = found
-                    bins[low] = [k for k in bins[low] if k not in take] + give
-                    bins[high] = [k for k in bins[high] if k not in give] + take
-                    free[low], free[high], changed = free[low] + gain, free[high] - gain, True
-        if not changed:
-            break
+        for high in sorted((j for j, b in enumerate(bins) if b and free[j]), key=lambda j: free[j]):
+            while left > least and bins[high] and free[high] and (found := exchange(high)):
+                low, n, m = found
+                take = _takes(bins[low], lengths)[n]
+                give = [next(k for k in bins[high] if lengths[k] == m)] if m else []
+                bins[low] = [k for k in bins[low] if k not in take] + give
+                bins[high] = [k for k in bins[high] if k not in give] + take
+                free[low], free[high], changed = free[low] + n - m, free[high] - n + m, True
+                left -= not bins[low]
+                offer(low)
+                offer(high)
     return [b for b in bins if b]
 
 

@@ -115,6 +115,21 @@ def test_local_search_never_loses(seed):
     assert -(-sum(lengths) // 100) <= len(packed) <= len(bins)
 
 
+@pytest.mark.parametrize("bounds", [(200, 500), (150, 420), (1, 12)])
+def test_local_search_reaches_all_bins(bounds):
+    r = random.Random(3)
+    lengths = [r.randint(*bounds) for _ in range(3000)]
+    capacity = 1024 if bounds[0] > 1 else 67
+    order = sorted(lengths, reverse=True)
+    bins, free = packing.best_fit(order, capacity)
+    packed = packing.local_search([list(b) for b in bins], list(free), order, capacity)
+    assert sorted(k for b in packed for k in b) == list(range(3000))
+    fills = [sum(order[k] for k in b) for b in packed]
+    assert max(fills) <= capacity
+    least = -(-sum(lengths) // capacity)
+    assert len(packed) == least or (len(packed) < len(bins) and sum(f * f for f in fills) > sum((capacity - f) ** 2 for f in free))
+
+
 def base_of(text):
     words = re.findall("[^\x20\x09-\x0d]+", text)
     windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
