@@ -15,7 +15,7 @@ CAPACITY, END_ID, TOKEN_LIMIT = 1024, 2, 512
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_viterbi.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), with_ids=False)
+    return sentencepiece_viterbi.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -216,7 +216,7 @@ def _encoder(path: str) -> Encoder:
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """id_col, n_ids, ids_crc32 (of the ids as little-endian 32-bit), round_trip and, if asked for, the ids of every row."""
+    """id_col, n_ids, ids_crc32 (of the ids as little-endian 32-bit), round_trip and, if asked for, the ids and the text decoded from them of every row."""
 
     def run(batches):
         encoder = _encoder(model_path)
@@ -226,15 +226,16 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 texts = part.column("text").to_pylist()
                 ids = list(encoder.encode(texts))
                 lists = [np.frombuffer(i, "<u4") for i in ids]
-                same = [decode(encoder.pieces, i.tolist()) == t for i, t in zip(lists, texts)]
+                decoded = [decode(encoder.pieces, i.tolist()) for i in lists]
+                same = [d == t for d, t in zip(decoded, texts)]
                 columns = [part.column("id"), pa.array([len(i) for i in lists], pa.int64()), pa.array([zlib.crc32(i) for i in ids], pa.int64()), pa.array(same)]
                 if with_ids:
-                    columns.append(pa.array([i.astype(np.int32) for i in lists], pa.list_(pa.int32())))
+                    columns += [pa.array([i.astype(np.int32) for i in lists], pa.list_(pa.int32())), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    names = ["id", "n_ids", "ids_crc32", "round_trip", "ids"][: 4 + with_ids]
+    names = ["id", "n_ids", "ids_crc32", "round_trip", "ids", "decoded"][: 4 + 2 * with_ids]
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_ids long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids)
+    out = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_ids long, ids_crc32 long, round_trip boolean" + ", ids array<int>, decoded string" * with_ids)
     return out.withColumnRenamed("id", id_col)
 
 

@@ -58,6 +58,19 @@ def test_sentencepiece_equals_the_library(spark, docs, nothing):
     assert sentencepiece_viterbi.encode(nothing, PIECES).count() == 0
 
 
+def test_sentencepiece_query_gives_ids_and_texts(spark):
+    import sentencepiece
+
+    from tallowmere.llm.queries_tokens import op1_sentencepiece
+
+    sf_dir = "/root/testdata/sf0.001"
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    texts = dict(pairs_of(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    out = {r.doc_id: r for r in op1_sentencepiece(spark, sf_dir).collect()}
+    assert out.keys() == texts.keys()
+    assert all(r.ids == model.encode(texts[k]) and r.decoded == model.decode(r.ids) for k, r in out.items())
+
+
 def test_streaming_window_is_bounded():
     pieces = sentencepiece_viterbi.Pieces(PIECES)
     search = sentencepiece_viterbi.StreamingViterbi(pieces)
