@@ -3,8 +3,9 @@
 The pages of a host are merged by the paths of their elements (tags with their class names). A node of that
 tree gets the entropy of its presentations (the sequences of its children) and of its contents over the
 host's different pages, each relative to the largest possible one; the larger is its importance. A branch
-that looks and reads alike on `MIN_PAGES` pages or more has hardly any and is cut from each page, unless it
-holds the main text or is a plain paragraph or heading of it. What names itself as a menu, header, footer,
+that looks and reads alike on the pages of a host, two or more, has hardly any and is cut from each page,
+unless it holds the main text; plain paragraphs, headings and the like only go if nearly all pages have them
+alike. A page that is left with no text keeps what its host repeats. What names itself as a menu, header, footer,
 sidebar, notice, advert, form, script or reader comment goes by its tag, role or class alone.
 
 Pages are parsed row by row in Arrow batches, once for the tree and once for the text. Only (host, page
@@ -29,12 +30,13 @@ from pyspark.sql import functions as F
 from tallowmere.llm.common import bounded, keep
 from tallowmere.llm.urls import host_of
 
-MIN_PAGES, MIN_IMPORTANCE, BROADCAST_CUTS = 10, 0.2, 200_000
+MIN_PAGES, MIN_IMPORTANCE, PLAIN_IMPORTANCE, BROADCAST_CUTS = 2, 0.2, 0.1, 200_000
 # HTML's elements by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 DROPPED = frozenset("script style noscript template head title nav footer aside form button select option textarea input label iframe object embed svg canvas audio video menu dialog map math".split())
-PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody thead blockquote pre body html article main figcaption".split())
+PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody thead blockquote pre figcaption".split())
+WHOLE = frozenset("body html article main".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 # Words in class names and ids of what isn't the article.
 NOISE = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline-share comment comments commentlist consent cookie cookies disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination paywall popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar tracking widget widgets".split())
@@ -114,25 +116,26 @@ def blocks_of(node: Node, path: str = "", cut: frozenset = frozenset(), inside:
         if text:
             out.append(text)
 
-    def walk(n: Node, at: str, inside: bool):
-        for c in n.children:
+    stack = [(node, path, inside, iter(node.children))]  # pages may be nested deeper than Python calls
+    while stack:
+        n, at, inside, rest = stack[-1]
+        for c in rest:
             if isinstance(c, str):
                 line.append(c)
             elif c.tag == "br":
                 line.append(" ")
             else:
                 here = f"{at}/{c.name}"
-                if (c.noise and not c.main) or (c.main and not NOISE.isdisjoint(c.name.split(".")[1:])) or (c.tag == "header" and not inside) or key_of(here) in cut:
-                    if c.block:
-                        flush()
-                    continue
+                skipped = (c.noise and not c.main) or (c.main and not NOISE.isdisjoint(c.name.split(".")[1:])) or (c.tag == "header" and not inside) or (bool(cut) and key_of(here) in cut)
                 if c.block:
                     flush()
-                walk(c, here, inside or c.main)
-                if c.block:
-                    flush()
-
-    walk(node, path, inside)
+                if not skipped:
+                    stack.append((c, here, inside or c.main, iter(c.children)))
+                    break
+        else:
+            stack.pop()
+            if stack and n.block:
+                flush()
     flush()
     return out
 
@@ -141,55 +144,57 @@ def key_of(path: str) -> int:
     return zlib.crc32(path.encode("utf-8", "surrogatepass")) | (zlib.adler32(path.encode("utf-8", "surrogatepass")) & 0x7FFFFFFF) << 32
 
 
-def main_node(root: Node) -> tuple[Node, str]:
-    """The element of the main text and its path: the article with most text, else main, else the whole page."""
-    found: list[tuple[Node, str]] = []
-
-    def walk(n: Node, at: str):
-        for c in n.children:
-            if not isinstance(c, str):
-                here = f"{at}/{c.name}"
-                noisy = not NOISE.isdisjoint(re.split(r"[._-]", c.name)[1:])
-                if c.main and not noisy:
-                    found.append((c, here))
-                if not noisy and (not c.noise or c.main):
-                    walk(c, here)
-
-    walk(root, "")
+def main_nodes(root: Node) -> list[tuple[Node, str]]:
+    """The elements of the main text and their paths, in page order: all articles, else main, else the whole page."""
     for tags in (("article",), ("main", "div", "section")):
-        some = [f for f in found if f[0].tag in tags]
-        if some:
-            return max(some, key=lambda f: sum(map(len, blocks_of(f[0], f[1], inside=True))))
-    return root, ""
+        found: list[tuple[Node, str]] = []
+        stack = [(root, "")]
+        while stack:
+            n, at = stack.pop()
+            if n.main and n.tag in tags:
+                found.append((n, at))
+                continue
+            for c in reversed(n.children):
+                if not isinstance(c, str) and (not c.noise or c.main) and NOISE.isdisjoint(re.split(r"[._-]", c.name)[1:]):
+                    stack.append((c, f"{at}/{c.name}"))
+        if found:
+            return found
+    return [(root, "")]
 
 
 def text_of(html: str, cut: frozenset = frozenset()) -> str:
-    """The main text of a page; `cut`: keys of branches that its host repeats."""
-    node, path = main_node(parse(html))
-    return "\n".join(blocks_of(node, path, cut, inside=path != ""))
+    """The main text of a page; `cut`: keys of branches that its host repeats, which stay if there is nothing else."""
+    nodes = main_nodes(parse(html))
+    for gone in (cut, frozenset()) if cut else (cut,):
+        out = [b for node, path in nodes for b in blocks_of(node, path, gone, inside=path != "")]
+        if out:
+            break
+    return "\n".join(out)
 
 
-def branches(html: str) -> list[tuple[int, int, int, bool]]:
-    """(key, presentation, content, may be cut) of every path of block elements of a page."""
+def branches(html: str) -> list[tuple[int, int, int, int]]:
+    """(key, presentation, content, may be cut: 0 never, 1 if nearly all pages have it alike, 2) of every path of block elements of a page."""
     root = parse(html)
-    _, main = main_node(root)
+    mains = [path for _, path in main_nodes(root)]
     seen: dict[str, list] = {}
-
-    def walk(n: Node, at: str) -> str:
-        texts = []
-        for c in n.children:
+    stack: list[tuple] = [(root, "", iter(root.children), [])]
+    while stack:
+        n, at, rest, texts = stack[-1]
+        for c in rest:
             if isinstance(c, str):
                 texts.append(c)
             elif c.tag not in ("script", "style"):
-                texts.append(walk(c, f"{at}/{c.name}"))
-        text = "".join(texts)
-        if n.block and at:
-            row = seen.setdefault(at, [0, 0, n.tag not in PLAIN and not main.startswith(at)])
-            row[0] = zlib.crc32(",".join(c.name for c in n.children if not isinstance(c, str)).encode("utf-8", "surrogatepass"), row[0])
-            row[1] = zlib.crc32(SPACE.sub(" ", text).encode("utf-8", "surrogatepass"), row[1])
-        return text
-
-    walk(root, "")
+                stack.append((c, f"{at}/{c.name}", iter(c.children), []))
+                break
+        else:
+            stack.pop()
+            text = "".join(texts)
+            if n.block and at:
+                row = seen.setdefault(at, [0, 0, 0 if n.tag in WHOLE or any(m.startswith(at) for m in mains) else 1 if n.tag in PLAIN else 2])
+                row[0] = zlib.crc32(",".join(c.name for c in n.children if not isinstance(c, str)).encode("utf-8", "surrogatepass"), row[0])
+                row[1] = zlib.crc32(SPACE.sub(" ", text).encode("utf-8", "surrogatepass"), row[1])
+            if stack:
+                stack[-1][3].append(text)
     return [(key_of(p), a, b, c) for p, (a, b, c) in seen.items()]
 
 
@@ -204,9 +209,9 @@ def style_tree(pages: DataFrame) -> DataFrame:
                 index = np.repeat(np.arange(len(found)), [len(f) for f in found])
                 flat = [x for f in found for x in f]
                 cols = list(zip(*flat)) if flat else [(), (), (), ()]
-                yield pa.RecordBatch.from_arrays([part.column("host").take(pa.array(index)), part.column("page").take(pa.array(index)), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.bool_())], ["host", "page", "key", "style", "content", "may_cut"])
+                yield pa.RecordBatch.from_arrays([part.column("host").take(pa.array(index)), part.column("page").take(pa.array(index)), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.int32())], ["host", "page", "key", "style", "content", "may_cut"])
 
-    return pages.mapInArrow(rows, "host string, page long, key long, style long, content long, may_cut boolean")
+    return pages.mapInArrow(rows, "host string, page long, key long, style long, content long, may_cut int")
 
 
 def importance(nodes: DataFrame) -> DataFrame:
@@ -226,8 +231,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = pages.select(F.col(id_col), F.col(url_col), host_of(F.col(url_col).cast("string")).alias("host"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("page", F.xxhash64("host", "html"))
     nodes = keep(style_tree(rows.where("html <> ''").select("host", "page", "html")).distinct(), "nodes")
-    low = importance(nodes).where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < MIN_IMPORTANCE)).select("host", "key")
-    cuts = keep(nodes.where("may_cut").join(low, ["host", "key"]).groupBy("page").agg(F.collect_set("key").alias("cut")), "cuts")  # a page's own paths at most
+    low = importance(nodes).where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < MIN_IMPORTANCE)).select("host", "key", "importance")
+    cuts = keep(nodes.where("may_cut > 0").join(low, ["host", "key"]).where((F.col("may_cut") == 2) | (F.col("importance") < PLAIN_IMPORTANCE)).groupBy("page").agg(F.collect_set("key").alias("cut")), "cuts")  # a page's own paths at most
     rows = rows.join(bounded(cuts, BROADCAST_CUTS), "page", "left")
 
     def texts(batches):

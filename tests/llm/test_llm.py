@@ -329,6 +329,17 @@ def test_site_style_tree_cuts_what_repeats(spark):
     assert {r.text for r in html_text.extract(spark.createDataFrame(same, "page_id bigint, url string, html string")).collect()} == {"One text."}
 
 
+def test_html_small_hosts_plain_nodes_articles_and_depth(spark):
+    story = lambda k: " ".join(prose(24, k).split())
+    rows = [(k, f"http://two.org/{k}", f"<body><div class='box'><p>Always here</p></div><div class='story'><p>{story(k)}</p></div></body>") for k in range(2)]
+    rows += [(10 + k, f"http://plain.org/{k}", f"<body><p>Always here<div class='story'><p>{story(k)}</p></div></body>") for k in range(12)]
+    rows += [(30, "http://many.org/", "<article><p>Short one.</p></article><article><p>The longer one of the two.</p></article>")]
+    rows += [(31, "http://deep.org/", "<b>" * 3000 + "deep" + "<div>" * 3000 + "deeper")]
+    out = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all(out[k] == story(k % 10) for k in (0, 1)) and all(out[10 + k] == story(k) for k in range(12))
+    assert out[30] == "Short one.\nThe longer one of the two." and out[31] == "deep\ndeeper"
+
+
 def test_neighbours_are_exact(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(600, 16)).astype(np.float32)
