@@ -230,7 +230,8 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 same = [d == t for d, t in zip(decoded, texts)]
                 columns = [part.column("id"), pa.array([len(i) for i in lists], pa.int64()), pa.array([zlib.crc32(i) for i in ids], pa.int64()), pa.array(same)]
                 if with_ids:
-                    columns += [pa.array([i.astype(np.int32) for i in lists], pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+                    ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
+                    columns += [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4"))), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     names = ["id", "n_ids", "ids_crc32", "round_trip", "ids", "decoded"][: 4 + 2 * with_ids]
