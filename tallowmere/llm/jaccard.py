@@ -10,14 +10,20 @@ both sizes together: a size band with one part more than that has an equal part
    its size band and in the next if a larger partner may lie there. The shorter of two such prefixes holds
    more filled parts than can differ, so linked sets share one. A set that leaves too many parts empty
    emits all it has, and its empty parts too, to meet others of its kind.
-3. Classes that share a part are candidates of the smallest among them, not of each other: a group of
-   copies gives a star. A bit sketch (each shingle flips one of 512 bits) drops candidates whose
-   Hamming distance exceeds the bound, and the rest is verified on whole texts.
-4. Components of the verified links. Only classes that share a part and are still in different components
-   are then verified with each other, so no link between components is lost and none within is repeated.
+3. Classes that share a part are candidates of one leader among them, not of each other: a group of copies
+   gives a star. A bit sketch (each shingle flips one of 512 bits) drops candidates whose Hamming distance
+   exceeds the bound, a sketch sized to the set drops more, and the rest is verified on whole texts.
+4. Components of the verified links. Parts in which several components still meet take a new leader, in
+   rounds, as long as a round links at least a tenth of the classes that are left there.
+5. Classes of different components that are still left in a common part are compared where they share one of
+   their rarest shingles, which linked sets must, and so no link between components is lost.
 
-Verification reads the texts of candidates alone, compressed, once. What one part's bucket holds is read in
-sorted order, never gathered; the joins on classes may be split by adaptive execution.
+A round costs a part one pair for each member, however many copies there are. In step 5 a class meets others
+only by shingles that are rare among those left; copies that were changed too much to be linked have enough
+shingles of their own to meet nobody.
+
+Verification reads the texts of candidates alone, compressed, once. What a part's bucket holds is grouped and
+joined, never gathered, and its joins may be split by adaptive execution.
 
 Null and empty texts, and texts without words, have an empty set and link with nothing. Repeated rows are of
 one class. Rows without an id belong to their class, and its number is the smallest id in its component, null
@@ -32,11 +38,10 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallowmere.llm.common import bounded, keep, text_or_empty
-from tallowmere.llm.graph import components
+from tallowmere.llm.common import bounded, discard, keep, text_or_empty
+from tallowmere.llm.graph import merged
 from tallowmere.llm.shingles import mix, shingle_set
 
 WIDTH, PERCENT = 5, 80
@@ -154,9 +159,8 @@ def describe(docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT
     return docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(run, f"id {kind}, {columns}, signatures array<long>")
 
 
-def _texts(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(node, n_shingles, wide sketch, packed text) of the nodes in `pairs`, written once: read from the documents that bear the nodes' ids."""
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def _texts(docs: DataFrame, nodes: DataFrame, asked: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(node, n_shingles, wide sketch, packed text) of the `asked` nodes, written once: read from the documents that bear the nodes' ids."""
     nodes = keep(nodes.join(asked, "node", "left_semi").select("node", "id", *KEY), "asked")
 
     def pack(batches):
@@ -217,51 +221,150 @@ def _near(a: str, b: str, percent: int) -> F.Column:
     return F.expr(f"{sizes} AND {100 + percent} * ({hamming}) <= {100 - percent} * ({a}.n_shingles + {b}.n_shingles)")
 
 
-def _across(shared: DataFrame, nodes: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes that share a part, lie in different components of `links`, and may be similar."""
-    labels = components(links)
-    members = shared.select("signature", "node").unionByName(shared.select("signature", F.col("leader").alias("node")).distinct())
-    placed = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("signature")
-    placed = keep(placed.join(mixed, "signature").join(nodes.select("node", "n_shingles", *SKETCH), "node"), "across")
-    a, b = placed.alias("a"), placed.alias("b")
-    met = a.join(b, (F.col("a.signature") == F.col("b.signature")) & (F.col("a.component") != F.col("b.component")) & (F.col("a.node") < F.col("b.node")) & _near("a", "b", percent))
-    return met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+def _parts_shared(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(signature, node, weight) of the parts that several classes emit; weight: how many others its node meets in all."""
+    full = rows.where("n_shingles > 0")
+    # A class emits once a task at most; its first row always does, so that row stands for the others.
+    emitted = full.select(F.explode("signatures").alias("signature"), F.col("row").alias("node"))
+    several = keep(emitted.groupBy("signature").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("signature"), "several")
+    others = full.where(F.size("signatures") > 0).select(F.col("row").alias("node")).join(nodes.select("node"), "node", "left_anti")
+    members = keep(emitted.join(several, "signature").join(others, "node", "left_anti"), "members")
+    sizes = keep(members.groupBy("signature").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    weights = members.join(sizes, "signature").groupBy("node").agg(F.sum("size").alias("weight"))
+    shared = keep(members.join(weights, "node"), "shared")
+    discard(several, members, sizes)
+    return shared
+
+
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members (signature, node, weight), with their components, of parts in which several components meet."""
+    placed = members.join(labels, "node", "left").select("signature", "node", "weight", F.coalesce("component", "node").alias("component"))
+    apart = keep(placed.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("signature"), "apart")
+    out = keep(placed.join(apart, "signature"), "mixed")
+    discard(apart)
+    return out
+
+
+class _Verifier:
+    """Links found so far, as components, and the packed texts of the classes that pairs were made of."""
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, percent: int, width: int):
+        self.docs, self.nodes, self.columns, self.percent, self.width = docs, nodes, (id_col, text_col), percent, width
+        self.texts: DataFrame | None = None
+        self.labels = docs.sparkSession.createDataFrame([], "node long, component long")
+
+    def fetch(self, asked: DataFrame) -> None:
+        """Packs the texts of the `asked` nodes (node), as far as that isn't done."""
+        if self.texts is not None:
+            asked = keep(asked.join(self.texts.select("node"), "node", "left_anti"), "missing")
+            if asked.isEmpty():
+                return
+        more = _texts(self.docs, self.nodes, asked, *self.columns, self.width)
+        self.texts = more if self.texts is None else self.texts.unionByName(more)
+
+    def apart(self, pairs: DataFrame) -> DataFrame:
+        ends = pairs.join(self.labels.toDF("a", "ca"), "a", "left").join(self.labels.toDF("b", "cb"), "b", "left")
+        return ends.where("coalesce(ca, a) <> coalesce(cb, b)").select(*pairs.columns)
+
+    def verify(self, pairs: DataFrame) -> int:
+        """How many of the pairs (a, b) link; their components are joined."""
+        links = keep(_verified(pairs, self.texts, self.percent, self.width), "links")
+        n = links.count()
+        if n:
+            self.labels = merged(self.labels, links)
+        discard(links)
+        return n
+
+    def lead(self, led: DataFrame) -> int:
+        """Verifies (a: leader, b: node, parts): with the leader that shares most parts first, with others where that leaves nodes apart."""
+        if led.isEmpty():
+            return 0
+        best = led.groupBy("b").agg(F.max_by("a", F.struct("parts", -F.col("a"))).alias("a"))
+        n = self.verify(best.select("a", "b"))
+        rest = keep(self.apart(led.select("a", "b").join(best, ["a", "b"], "left_anti")), "rest")
+        n += 0 if rest.isEmpty() else self.verify(rest)
+        discard(rest)
+        return n
+
+
+def _led(members: DataFrame, nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(signature, leader) of every part, and the distinct pairs (a: leader, b: node, parts) of different components that may link.
+
+    The leader is the member that meets most others: in a group of copies one that is close to what they were copied from.
+    """
+    leaders = keep(members.groupBy("signature").agg(F.max_by(F.struct(F.col("node").alias("leader"), F.col("component").alias("of")), F.struct("weight", -F.col("node"))).alias("l")).select("signature", "l.*"), "leaders")
+    pairs = members.join(leaders, "signature").where("component <> of").groupBy("node", "leader").agg(F.count("*").alias("parts"))
+    a, b = nodes.alias("a"), nodes.alias("b")
+    pairs = pairs.alias("p").join(a, F.col("p.leader") == F.col("a.node")).join(b, F.col("p.node") == F.col("b.node")).where(_near("a", "b", percent))
+    return leaders, keep(pairs.select(F.col("p.leader").alias("a"), F.col("p.node").alias("b"), "parts"), "led")
+
+
+def _rarest(mixed: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """Pairs of different components among the nodes of `mixed` that share one of their rarest shingles and may link.
+
+    Linked sets of m and n shingles share at least o = percent / (100 + percent) * (m + n), so with all shingles in
+    one order, the rarest first, the first m - o + 1 of the one and n - o + 1 of the other have one in common. What
+    one set alone has takes places in that order without being emitted, so copies that were each changed much
+    meet nobody. Sizes are told by classes 3 % wide, and a set emits for each class in which its partners may lie.
+    """
+
+    def sets(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                found = [shingle_set(zlib.decompress(t).decode("utf-8", "surrogatepass"), width).view(np.int64) for t in part.column("packed").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(f) for f in found])], pa.int32()), pa.array(np.concatenate(found)))], ["node", "es"])
+
+    asked = mixed.select("node", "component").distinct()
+    held = keep(texts.select("node", "packed").join(asked.select("node"), "node", "left_semi").mapInArrow(sets, "node long, es array<long>"), "sets")
+    each = held.select("node", F.explode("es").alias("e"))
+    common = keep(each.groupBy("e").agg(F.count("*").alias("c")).where("c > 1"), "common")
+    order = each.join(common, "e").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "e"))).alias("es"))  # of one text
+    order = order.join(asked, "node").join(nodes.select("node", F.col("n_shingles").alias("n"), *SKETCH), "node")
+    step = math.log(1.03)
+    order = order.withColumn("own", F.expr(f"cast(floor(ln(n) / {step}) as int)"))
+    order = order.withColumn("other", F.explode(F.expr(f"sequence(cast(floor(ln(n * {percent} / 100D) / {step}) as int), cast(floor(ln(n * 100D / {percent}) / {step}) as int))")))
+    least = f"greatest(cast(ceil(n * {percent} / 100D - 1e-9) as long), cast(floor(exp(other * {step}) * (1 - 1e-9)) as long))"
+    first = f"n - ({percent} * (n + {least}) + {99 + percent}) div {100 + percent} + 1 - (n - size(es))"
+    order = order.withColumn("e", F.explode(F.expr(f"transform(slice(es, 1, cast(greatest(0L, {first}) as int)), x -> x.e)"))).drop("es")
+    order = keep(order.withColumnRenamed("n", "n_shingles"), "rarest")
+    a, b = order.alias("a"), order.alias("b")
+    same = (F.col("a.e") == F.col("b.e")) & (F.col("a.own") == F.col("b.other")) & (F.col("a.other") == F.col("b.own"))
+    once = (F.col("a.own") < F.col("b.own")) | ((F.col("a.own") == F.col("b.own")) & (F.col("a.node") < F.col("b.node")))
+    met = a.join(b, same & once & (F.col("a.component") != F.col("b.component")) & _near("a", "b", percent))
+    out = keep(met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "pairs")
+    discard(held, common, order)
+    return out
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """id_col, n_shingles, component_id and class_id (smallest id of the same set) of every row."""
     rows = keep(describe(docs, id_col, text_col, percent, width).withColumn("row", F.monotonically_increasing_id()), "sketches")
-    full = rows.where("n_shingles > 0")
-    nodes = full.groupBy(*KEY).agg(F.min("row").alias("node"), F.min("id").alias("id"), *[F.first(k).alias(k) for k in SKETCH])
+    nodes = rows.where("n_shingles > 0").groupBy(*KEY).agg(F.min("row").alias("node"), F.min("id").alias("id"), *[F.first(k).alias(k) for k in SKETCH])
     nodes = keep(nodes, "classes")
-    # A class emits once a task at most; its first row always does, so that row leads or stands for the others.
-    emitted = full.select(F.explode("signatures").alias("signature"), F.col("row").alias("node"))
-    first = F.first("node").over(W.partitionBy("signature").orderBy("node"))
-    others = full.where(F.size("signatures") > 0).select(F.col("row").alias("node")).join(nodes.select("node"), "node", "left_anti")
-    shared = keep(emitted.withColumn("leader", first).where("node <> leader").join(others, "node", "left_anti").select("signature", "node", "leader"), "shared")
-
-    star = shared.groupBy("node", "leader").agg(F.count("*").alias("parts"))
-    a, b = nodes.alias("a"), nodes.alias("b")
-    star = star.alias("s").join(a, F.col("s.leader") == F.col("a.node")).join(b, F.col("s.node") == F.col("b.node")).where(_near("a", "b", percent))
-    star = keep(star.select(F.col("s.leader").alias("a"), F.col("s.node").alias("b"), "parts"), "stars")
-    texts = _texts(docs, nodes, star, id_col, text_col, width)
-
-    # The leader with which most parts are shared comes first; the others only where that left nodes apart.
-    best = star.groupBy("b").agg(F.max_by("a", F.struct("parts", -F.col("a"))).alias("a"))
-    links = keep(_verified(best, texts, percent, width), "verified")
-    labels = keep(components(links), "labels")
-    rest = star.select("a", "b").join(best, ["a", "b"], "left_anti")
-    rest = rest.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-    rest = rest.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-    links = keep(links.unionByName(_verified(rest, texts, percent, width)), "verified")
-    across = keep(_across(shared, nodes, links, percent).join(star.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    if not across.isEmpty():
-        links = keep(links.unionByName(_verified(across, _texts(docs, nodes, across, id_col, text_col, width), percent, width)), "verified")
-
-    labels = components(links)
-    placed = nodes.select(*KEY, "node", "id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = placed.groupBy("component").agg(F.min("id").alias("component_id"))
+    mixed = _parts_shared(rows, nodes).withColumn("component", F.col("node"))
+    found = _Verifier(docs, nodes, id_col, text_col, percent, width)
+    turn, ended = 0, False
+    while not ended:
+        leaders, led = _led(mixed, nodes, percent)
+        found.fetch((led.select(F.col("a").alias("node")).union(led.select("b")) if turn == 0 else mixed.select("node")).distinct())
+        linked = found.lead(led)
+        # A leader has now met all others of its part, so only those meet again, where components differ.
+        open_ = mixed.join(leaders.select("signature", F.col("leader").alias("node")), ["signature", "node"], "left_anti").drop("component")
+        again = _mixed(open_, found.labels)
+        discard(leaders, led)
+        met = again.select("node").distinct().count()
+        # Rounds go on while each takes a good part of the nodes that are still apart; the rest is left to the rarest shingles.
+        ended = not met or (turn > 0 and 10 * linked < met)
+        mixed, turn = again, turn + 1
+    if met:
+        found.fetch(mixed.select("node").distinct())
+        pairs = _rarest(mixed, nodes, found.texts, percent, width)
+        if not pairs.isEmpty():
+            found.verify(pairs)
+
+    placed = nodes.select(*KEY, "node", "id").join(found.labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = keep(placed.groupBy("component").agg(F.min("id").alias("component_id")), "smallest")
     placed = placed.join(smallest, "component").select(*KEY, F.col("id").alias("class_id"), "component_id")
     out = rows.select("id", *KEY).join(placed, KEY, "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("class_id")).alias("class_id"))

@@ -261,6 +261,41 @@ def test_jaccard_against_brute_force(spark, seed):
     assert left == [k for k, (w, s) in enumerate(zip(want, sizes)) if w == k or not s]
 
 
+@pytest.mark.parametrize("edits", [(1, 6), (2, 3)])
+def test_jaccard_joins_near_copies_without_their_original(spark, edits):
+    r = random.Random(11)
+    original = [r.choice(WORDS) + str(k) for k in range(150)]
+    texts = []
+    for _ in range(260):
+        copy = list(original)
+        for _ in range(r.randint(*edits)):
+            copy[r.randrange(150)] = r.choice(WORDS) + "x" + str(r.random())
+        texts.append(" ".join(copy))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    out = {x.doc_id: x.component_id for x in jaccard.join(frame).collect()}
+    want, _ = linked(texts)
+    assert [out[k] for k in range(len(texts))] == want
+
+
+def test_rarest_shingles_leave_few_pairs(spark):
+    """Copies that were each changed too much to be linked meet nobody; those that were changed alike meet."""
+    r = random.Random(12)
+    original = [f"w{k}" for k in range(150)]
+    texts = []
+    for k in range(400):
+        copy = list(original)
+        for at in r.sample(range(0, 150, 6), 5):
+            copy[at] = f"x{k}_{at}"
+        texts.append(" ".join(copy))
+    texts += [texts[0] + " end", texts[0] + " other end"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    described = jaccard.describe(rows, "doc_id", "text").selectExpr("id AS node", "*").drop("id").cache()
+    found = jaccard._Verifier(rows, described.withColumn("id", F.col("node")), "doc_id", "text", 80, 5)
+    found.fetch(described.select("node"))
+    pairs = jaccard._rarest(described.selectExpr("node", "node AS component"), described, found.texts, 80, 5).collect()
+    assert {(0, 400), (0, 401), (400, 401)} <= {tuple(sorted(p)) for p in pairs} and len(pairs) < 20
+
+
 def test_jaccard_against_sql(spark):
     from tallowmere.llm.queries_joins import ORACLE, QUERIES
 
