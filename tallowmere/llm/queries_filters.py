@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallowmere.llm import secrets, urls
 from tallowmere.llm.common import table
@@ -17,7 +18,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"), repo_col="doc_id", owner_col="source")
+    """A source owns what it holds; its repositories are its parts by language."""
+    docs = table(spark, sf_dir, "documents")
+    repo = F.to_json(F.struct("source", "lang"))
+    return secrets.scan(docs.select("doc_id", "text", "source", repo.alias("repo")), repo_col="repo", owner_col="source")
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

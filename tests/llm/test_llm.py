@@ -128,6 +128,40 @@ def test_local_search_never_loses(seed):
     assert -(-sum(lengths) // 100) <= len(packed) <= len(bins)
 
 
+def fewest_bins(lengths, capacity):
+    """By all subsets: fewest bins, then the least fill of the last one."""
+    best = {0: (1, 0)}
+    for taken in range(1, 1 << len(lengths)):
+        best[taken] = min((n, fill + lengths[k]) if fill + lengths[k] <= capacity else (n + 1, lengths[k]) for k in range(len(lengths)) if taken >> k & 1 for n, fill in [best[taken ^ 1 << k]])
+    return best[(1 << len(lengths)) - 1][0]
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_packing_against_all_packings(seed):
+    r = random.Random(seed)
+    lengths = [r.randint(20, 60) for _ in range(11)]
+    packed = packing.pack_lengths(lengths, 100)
+    assert len(packed) == fewest_bins(lengths, 100)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_local_search_leaves_no_exchange(seed):
+    """Where it ends above the bound, no move, one-for-one or two-for-one exchange increases the sum of squared fills."""
+    r = random.Random(seed)
+    lengths = [r.randint(25, 45) for _ in range(60)]
+    packed = packing.pack_lengths(lengths, 100)
+    if len(packed) == -(-sum(lengths) // 100):
+        return
+    fill = [sum(lengths[k] for k in b) for b in packed]
+    for i, high in enumerate(packed):
+        for j, low in enumerate(packed):
+            if i == j or fill[i] == 100 or fill[j] == 100 or fill[j] > fill[i]:
+                continue
+            takes = [lengths[k] for k in low] + [lengths[a] + lengths[b] for n, a in enumerate(low) for b in low[n + 1 :]]
+            for give in [0, *[lengths[k] for k in high]]:
+                assert not any(0 < take - give <= 100 - fill[i] for take in takes)
+
+
 @pytest.mark.parametrize("bounds", [(200, 500), (150, 420), (1, 12)])
 def test_local_search_reaches_all_bins(bounds):
     r = random.Random(3)
@@ -211,12 +245,55 @@ def test_secrets(spark, docs, nothing):
         assert set(filter(None, written.split(","))) <= set(r.spans.split(","))
     by = {r.doc_id: r for r in out}
     assert by[505].spans == "live:5:27" and all(by[600 + k].spans == "" for k in range(8))
-    clean = {r.doc_id: r.text for r in secrets.redact(both, "doc_id", "source").collect()}
+    clean = {r.doc_id: r.text for r in secrets.redact(both, F.col("doc_id"), F.col("source")).collect()}
     assert clean[505] == "here [SECRET] ends" and own not in str(clean) and shared in clean[600]
     assert clean[502] == "[SECRET] é [SECRET]" and clean[500] == "[SECRET] [SECRET]' token=ab"
     assert secrets.scan(nothing, "doc_id", "source").count() == 0
 
 
+def test_secret_ownership_against_brute_force(spark):
+    r = random.Random(4)
+    hexes = ["".join(r.choice("0123456789abcdef") for _ in range(40)) for _ in range(12)]
+    mixed = ["".join(r.choice("abcXYZ019") for _ in range(18)) + "aB9" for _ in range(8)]
+    rows = []
+    for k in range(300):
+        parts = [r.choice(WORDS) for _ in range(20)]
+        for _ in range(r.choice([0, 0, 1, 2])):
+            v = r.choice(hexes[: r.choice([3, 12])] + mixed)
+            parts.insert(r.randrange(20), r.choice([f'token = "{v}"', v, f"api_key:{v}"]))
+        rows.append((k, " ".join(parts), r.choice([None, "a", "b", "c"]) if k % 2 else "a", r.choice("xyz"), [k], "clash", 1))
+    rows += rows[:20]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string, repo string, spans array<int>, _row string, _text int").repartition(3)
+
+    def values(text):  # (start, end, value) of base candidates, and of mixed tokens away from base spans
+        base = [(m.start(), m.end(), m[1] if n == 0 else m[0]) for n, (_, p, ok) in enumerate(BASE) for m in p.finditer(text) if ok(m)]
+        out = {(e - len(v), e, v) for _, e, v in base}
+        for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text):
+            if all(re.search(p, m[0]) for p in ("[0-9]", "[A-Z]", "[a-z]")) and not any(a < m.end() and m.start() < b for a, b, _ in base):
+                out.add((m.start(), m.end(), m[0]))
+        return out
+
+    repos, owners = defaultdict(set), defaultdict(set)
+    for row in rows:
+        for _, _, v in values(row[1]):
+            repos[v].add(row[3])
+            owners[v].add(row[2])
+    example = {v for v in repos if len(repos[v]) >= secrets.EXAMPLE_REPOS and len(owners[v]) >= secrets.EXAMPLE_OWNERS}
+    want = Counter()
+    for row in rows:
+        live = {(a, 3, b) for a, b, v in values(row[1]) if v not in example}
+        n_examples = sum(v in example for _, _, v in values(row[1]))
+        want[row[0], ",".join(f"{(*(x[0] for x in BASE), 'live')[n]}:{a}:{b}" for a, n, b in sorted({*spans_of(row[1]), *live})), len(live), n_examples] += 1
+    out = secrets.scan(frame, "repo", "source").collect()
+    assert Counter((x.doc_id, x.spans, x.n_live, x.n_examples) for x in out) == want
+    assert example and len(example) < len(repos)
+    masked = secrets.redact(frame, F.col("repo"), F.col("source"))
+    assert masked.columns == frame.columns
+    for x in masked.collect():
+        assert x.spans == [x.doc_id] and x._row == "clash" and x._text == 1
+        assert {v for _, _, v in values(x.text)} <= example
+
+
 def linked(texts):
     sets = []
     for t in texts:
