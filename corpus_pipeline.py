@@ -35,7 +35,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets that aren't widely copied examples masked and n_chars counted anew."""
-    masked = secrets.redact(docs, "doc_id", "source")
+    masked = secrets.redact(docs, F.to_json(F.struct("source", "lang")), F.col("source"))
     return masked.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")))
 
 
