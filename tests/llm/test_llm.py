@@ -452,6 +452,65 @@ def test_html_small_hosts_plain_nodes_articles_and_depth(spark):
     assert out[30] == "Short one.\nThe longer one of the two." and out[31] == "deep\ndeeper"
 
 
+def cut_by_plain_code(rows):
+    """Texts of (host, html) rows by importance computed page by page."""
+    pages = {(h, t): html_text.Page(t) for h, t in rows}
+    nodes = defaultdict(list)
+    for (h, _), p in pages.items():
+        for key, row in p.nodes.items():
+            nodes[h, key].append(row)
+
+    def entropy(values):
+        c, n = Counter(values), len(values)
+        return -sum(x / n * np.log(x / n) for x in c.values()) / np.log(n) if n > 1 else 1.0
+
+    low = {}
+    for at, found in nodes.items():
+        style, content = entropy([r[0] for r in found]), entropy([r[1] for r in found])
+        weight = 0.9 ** (sum(r[3] for r in found) / len(found))
+        importance, may = (1 - weight) * style + weight * content, min(r[2] for r in found)
+        if may and (max(style, content) < 0.1 or (may == 2 and (max(style, content) < 0.2 or (importance < 0.5 and content < 0.97)))):
+            low[at] = {c for c, k in Counter(r[1] for r in found).items() if k > 1}
+    return [pages[h, t].text(frozenset(k for k, r in pages[h, t].nodes.items() if r[1] in low.get((h, k), ()))) for h, t in rows]
+
+
+def test_style_tree_against_plain_code(spark):
+    r = random.Random(6)
+    menus = ["<div class='m'>" + "".join(f"<a><b>{r.choice(WORDS)}</b></a>" for _ in range(12)) + "</div>" for _ in range(3)]
+    rows = []
+    for k in range(60):
+        parts = [r.choice(menus), f"<div class='x'>{r.choice(['Sport', 'News', r.choice(WORDS)])}</div>", "<p>Follow us" + r.choice(["", "", "!"])]
+        parts += [f"<div class='t'><h2>{r.choice(WORDS)}</h2>" + "".join(f"<p>{prose(12, r.random())}</p>" for _ in range(r.randint(1, 4))) + "</div>"]
+        r.shuffle(parts)
+        rows.append((k, f"http://{r.choice('aab')}.org/{k}", "<body>" + "".join(parts) + "</body>"))
+    rows += rows[:5]
+    out = Counter((x.page_id, x.text) for x in html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)).collect())
+    want = cut_by_plain_code([(u[7:12], h) for _, u, h in rows])
+    assert out == Counter((row[0], t) for row, t in zip(rows, want))
+    uncut = [html_text.text_of(h) for _, _, h in rows]
+    assert sum(a != b for a, b in zip(want, uncut)) > 40  # menus go, which no name tells
+    assert all(w in t for (_, _, h), t in zip(rows, want) for w in re.findall("<h2>(.*?)</h2>", h))
+
+
+@pytest.mark.parametrize("html,want", [("<article><div class='post-header'><h1>T</h1></div><p>x</p></article>", "T\nx"), ("<div class='widget-content'><p>the story</p></div>", "the story"), ("<div class='site-header'>no</div><div class='ad-slot'>no</div><div id='cookie-notice'>no</div><p>yes</p>", "yes"), ("<p>a<td>b</td>c", "a\nb\nc"), ("a<script>x</script>b<span>c<div>d</div>e</span>f", "abc\nd\nef")])
+def test_html_pages(html, want):
+    assert html_text.text_of(html) == want
+
+
+def test_deep_and_long_pages():
+    n = 50_000
+    assert html_text.text_of("<div>" * n + "deep" + "<b>" * n + "er" + "</i>" * n) == "deeper"
+    assert html_text.text_of("<p>" + "<ul><li>x" * n) == "\n".join("x" * n)
+    assert len(html_text.text_of("<p>word word</p>" * n)) == 10 * n - 1
+
+
+def test_html_of_empty_tables_and_clashing_columns(spark):
+    schema = "page_id bigint, url string, html string, text int, host int, page int, cut string"
+    assert html_text.extract(spark.createDataFrame([], schema)).collect() == []
+    out = html_text.extract(spark.createDataFrame([(None, None, "<p>a", 1, 2, 3, "x"), (None, None, "<p>a", 1, 2, 3, "x")], schema))
+    assert [tuple(r) for r in out.collect()] == [(None, None, "a", 1)] * 2
+
+
 def test_neighbours_are_exact(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(600, 16)).astype(np.float32)
