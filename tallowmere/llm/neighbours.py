@@ -3,28 +3,34 @@
 Queries and candidates are dealt into blocks of bounded size, every candidate block meets every query
 block, and a task multiplies their int8 tiles. The quantisation error of each product is bounded from the
 rows' scales and norms, so a product is an interval that holds the true inner product. A candidate whose
-upper end lies below the k-th largest lower end can't be among the k nearest; all others are recomputed
-in double precision and a heap of k per query is kept. Tiles emit at most k rows per query; those of all
-tasks are ranked by (score, id), again cut to k per query before the shuffle and after it.
+upper end lies below the k-th largest lower end, or below the k-th best found so far, can't be among the k
+nearest; all others are recomputed in double precision and merged into a heap of k per query. A task emits
+its heaps; those of all tasks are ranked by (score, id), cut to k per query before the shuffle and after it.
 
-The queries are a stated set against all rows, in blocks; a block of candidates is read once and met with
-the query blocks that a broadcast holds, as many as `QUERY_BYTES` allows at a time.
+The queries are a stated set against all rows, in blocks: queries are dealt into blocks of about `BLOCK_BYTES`,
+candidates into slices of that size, and each block and slice meet in one task, which goes through them tile
+by tile. Blocks, slices and what a task finds are shuffled; nothing passes through the driver.
 
 Vectors that are null, zero, of another length than most, or that hold null or non-finite components take
 no part. Repeated ids take part as they are, each row on its own; a query's own id is no candidate. Ties go
-to the smaller id. An empty table gives an empty table.
+to the smaller id, a whole number. Other columns, whatever their names, are left out. An empty table gives an
+empty table.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Bytes of query vectors in one broadcast, and rows of a tile.
-QUERY_BYTES, QUERY_ROWS, TILE_ROWS = 64 << 20, 1_024, 4_096
+#: What a task finds.
+FOUND = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+#: Bytes of vectors in a block of queries or a slice of candidates, and rows of a tile of each.
+BLOCK_BYTES, QUERY_ROWS, TILE_ROWS = 64 << 20, 1_024, 4_096
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -47,8 +53,8 @@ def quantise(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return q, scale, np.linalg.norm(m - back, axis=1), np.linalg.norm(back, axis=1)
 
 
-def _tile(ids, block, tile, queries, k):
-    """(query rows, candidate rows, scores) of the candidates of a tile that may be among the k nearest."""
+def _tile(ids, block, tile, queries, best, k):
+    """(query rows, candidate rows, scores) of the candidates of a tile that may be among the k nearest; `best`: each query's k-th best so far."""
     q_ids, qm, (qq, qs, ql, qn) = queries
     cq, cs, cl, cn = tile
     # int8 products, exact in float32 while a row has under 1,000 components (127 * 127 * 1000 < 2 ** 24)
@@ -59,10 +65,9 @@ def _tile(ids, block, tile, queries, k):
     slack += 1e-9 * (1 + qn[:, None] * cn[None, :])
     own = q_ids[:, None] == ids[None, :]
     low, high = np.where(own, -np.inf, near - slack), np.where(own, -np.inf, near + slack)
+    floor = best
     if low.shape[1] > k:
-        floor = np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k]
-    else:
-        floor = np.full(len(q_ids), -np.inf)
+        floor = np.maximum(best, np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k])
     rows, cols = np.nonzero((high >= floor[:, None]) & ~own)
     # summed component by component whatever the block, so that equal vectors score equally
     scores, a, b = np.zeros(len(rows)), qm[rows], block[cols]
@@ -71,60 +76,52 @@ def _tile(ids, block, tile, queries, k):
     return rows, cols, scores
 
 
-def _merge(heap: tuple, rows, ids, scores, k: int) -> tuple:
-    """The k best (row, id, score) of each query row, of the heap's and new ones."""
-    r, i, s = (np.concatenate(x) for x in zip(heap, (rows, ids, scores)))
-    order = np.lexsort((i, -s, r))
-    r, i, s = r[order], i[order], s[order]
-    starts = np.r_[0, np.flatnonzero(np.diff(r)) + 1] if len(r) else np.zeros(0, int)
-    rank = np.arange(len(r)) - np.repeat(starts, np.diff(np.r_[starts, len(r)]))
-    return r[rank < k], i[rank < k], s[rank < k]
+def _merge(heaps: list, best: np.ndarray, rows, ids, scores, k: int) -> None:
+    """Puts (score, -id) into the heaps of their query rows, which keep the k best; `best` follows."""
+    for r, i, s in zip(rows.tolist(), ids.tolist(), scores.tolist()):
+        heap, item = heaps[r], (s, -i)
+        if len(heap) < k:
+            heapq.heappush(heap, item)
+        elif item > heap[0]:
+            heapq.heapreplace(heap, item)
+        if len(heap) == k:
+            best[r] = heap[0][0]
 
 
-def search(vectors: DataFrame, is_query, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int, id_col: str = "vec_id", vec_col: str = "embedding", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """query_id, rank, the id and the score of each query's k nearest rows. `is_query`: a condition over the column `id`."""
-    spark = vectors.sparkSession
-    rows = usable(vectors, id_col, vec_col)
+    rows = usable(vectors, id_col, vec_col).withColumn("id", F.col("id").cast("long"))
     d = _dimension(rows)
-    rows = rows.where(F.size("v") == d)
-    kind = vectors.schema[id_col].dataType.simpleString()
-    schema = f"query bigint, vec_id {kind}, score double"
-    per_round = max(1, QUERY_BYTES // (8 * max(1, d)))
+    rows = rows.where(F.size("v") == d).withColumn("row", F.monotonically_increasing_id())
     queries = rows.where(is_query)
-    rounds = -(-queries.count() // per_round) or 1
-    parts: list[DataFrame] = []
-    for r in range(rounds):
-        # per_round queries at most in the mean, dealt by a hash; the rounds make up the whole query set
-        mine = queries if rounds == 1 else queries.where(F.pmod(F.xxhash64(F.lit(9), "id"), F.lit(rounds)) == r)
-        got = mine.toArrow()
-        q_ids = got.column("id").to_numpy()
-        shared = spark.sparkContext.broadcast((q_ids, _matrix(got.column("v").combine_chunks(), d)))
-
-        def nearest(batches, shared=shared):
-            q_ids, qm = shared.value
-            blocks = [(q_ids[a : a + QUERY_ROWS], qm[a : a + QUERY_ROWS], quantise(qm[a : a + QUERY_ROWS])) for a in range(0, len(q_ids), QUERY_ROWS)]
-            none = (np.zeros(0, np.int64), q_ids[:0], np.zeros(0))
-            heaps = [none] * len(blocks)
-            for b in batches:
-                for at in range(0, b.num_rows, TILE_ROWS):
-                    part = b.slice(at, TILE_ROWS)
-                    ids, block = part.column("id").to_numpy(zero_copy_only=False), _matrix(part.column("v"), d)
-                    tile = quantise(block)
-                    for n, queries in enumerate(blocks):
-                        got, cols, scores = _tile(ids, block, tile, queries, k)
-                        heaps[n] = _merge(heaps[n], got, ids[cols], scores, k)
-            for n, (got, ids, scores) in enumerate(heaps):
-                if len(got):
-                    yield pa.RecordBatch.from_arrays([pa.array(got + n * QUERY_ROWS + (r << 40), pa.int64()), pa.array(ids), pa.array(scores)], ["query", "vec_id", "score"])
-
-        found = rows.mapInArrow(nearest, schema)
-        names = spark.createDataFrame([(int(n) + (r << 40), int(i)) for n, i in enumerate(q_ids)], f"query bigint, query_id {kind}")
-        best = found.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
-        parts.append(best.join(F.broadcast(names), "query").select("query_id", "rank", F.col("vec_id").alias(id_col), "score"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    many = rows.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
+    per = max(1, block_bytes // (8 * max(1, d)))
+    blocks = -(-many.q // per) or 1
+    slices = max(-(-many.n // per), min(many.n // TILE_ROWS, vectors.sparkSession.sparkContext.defaultParallelism), 1)
+
+    def nearest(key, mine: pa.Table, others: pa.Table) -> pa.Table:
+        if not mine.num_rows or not others.num_rows:
+            return FOUND.empty_table()
+        q_rows, q_ids, qm = mine.column("row").to_numpy(), mine.column("id").to_numpy(), _matrix(mine.column("v").combine_chunks(), d)
+        c_ids, cm = others.column("c_id").to_numpy(), _matrix(others.column("c_v").combine_chunks(), d)
+        parts = [(slice(a, a + QUERY_ROWS), quantise(qm[a : a + QUERY_ROWS])) for a in range(0, len(q_ids), QUERY_ROWS)]
+        heaps, best = [[] for _ in q_ids], np.full(len(q_ids), -np.inf)
+        for at in range(0, len(c_ids), TILE_ROWS):
+            ids, block = c_ids[at : at + TILE_ROWS], cm[at : at + TILE_ROWS]
+            tile = quantise(block)
+            for part, packed in parts:
+                got, cols, scores = _tile(ids, block, tile, (q_ids[part], qm[part], packed), best[part], k)
+                _merge(heaps[part], best[part], got, ids[cols], scores, k)
+        sizes = [len(h) for h in heaps]
+        found = [x for h in heaps for x in h]
+        return pa.table([np.repeat(q_rows, sizes), np.repeat(q_ids, sizes), pa.array([-i for _, i in found], pa.int64()), pa.array([s for s, _ in found], pa.float64())], schema=FOUND)
+
+    dealt = queries.withColumn("block", F.pmod("row", F.lit(blocks))).withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
+    each = rows.select(F.col("id").alias("c_id"), F.col("v").alias("c_v"), "row").withColumn("slice", F.pmod("row", F.lit(slices))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).drop("row")
+    met = dealt.groupBy("block", "slice").cogroup(each.groupBy("block", "slice"))
+    found = met.applyInArrow(nearest, "query long, query_id long, vec_id long, score double")
+    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", F.col("vec_id").alias(id_col), "score")
 
 
 def _matrix(column: pa.Array, d: int) -> np.ndarray:

@@ -519,9 +519,12 @@ def test_neighbours_are_exact(spark):
     rows = [(k, [float(x) for x in v[k]]) for k in range(600)]
     odd = [(601, None), (620, [0.0] * 16), (640, [float("nan")] * 16), (660, [1.0, None] + [0.0] * 14), (680, [1.0]), (700, [float("inf")] * 16)]
     frame = spark.createDataFrame(rows + odd, "vec_id bigint, embedding array<float>").repartition(5)
-    out = defaultdict(list)
+    out, blocks = defaultdict(list), defaultdict(list)
     for r in neighbours.search(frame, F.col("id") % 20 == 0, 10).orderBy("query_id", "rank").collect():
         out[r.query_id].append((r.vec_id, r.score))
+    for r in neighbours.search(frame, F.col("id") % 20 == 0, 10, block_bytes=2000).orderBy("query_id", "rank").collect():
+        blocks[r.query_id].append((r.vec_id, r.score))
+    assert out == blocks
     s = np.zeros((600, 600))
     for j in range(16):
         s += v[:, None, j].astype(float) * v[None, :, j].astype(float)
