@@ -208,7 +208,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> D
             yield pa.RecordBatch.from_arrays([pa.array([a_[k] for k in keep_], pa.int64()), pa.array([b_[k] for k in keep_], pa.int64())], ["a", "b"])
 
     sketches = [texts.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("wide").alias(f"wide_{c}")) for c in "ab"]
-    pairs = pairs.join(sketches[1], "b").join(sketches[0], "a").select("a", "b", "n_a", "n_b", "wide_a", "wide_b").mapInArrow(near, "a long, b long")
+    pairs = keep(pairs.join(sketches[1], "b").join(sketches[0], "a").select("a", "b", "n_a", "n_b", "wide_a", "wide_b").mapInArrow(near, "a long, b long"), "near")
+    if pairs.isEmpty():
+        return pairs
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    texts = texts.join(bounded(asked, BROADCAST_IDS), "node", "left_semi")  # only these are shuffled
     left = texts.select(F.col("node").alias("a"), F.col("packed").alias("packed_a"))
     right = texts.select(F.col("node").alias("b"), F.col("packed").alias("packed_b"))
     return pairs.join(right, "b").join(left, "a").select("a", "b", "packed_a", "packed_b").mapInArrow(check, "a long, b long")
@@ -222,17 +226,16 @@ def _near(a: str, b: str, percent: int) -> F.Column:
 
 
 def _parts_shared(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(signature, node, weight) of the parts that several classes emit; weight: how many others its node meets in all."""
-    full = rows.where("n_shingles > 0")
+    """(signature, node, weight) of the parts that several classes emit; weight: how many its node meets in all."""
+    full = rows.where("size(signatures) > 0")
     # A class emits once a task at most; its first row always does, so that row stands for the others.
-    emitted = full.select(F.explode("signatures").alias("signature"), F.col("row").alias("node"))
-    several = keep(emitted.groupBy("signature").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("signature"), "several")
-    others = full.where(F.size("signatures") > 0).select(F.col("row").alias("node")).join(nodes.select("node"), "node", "left_anti")
-    members = keep(emitted.join(several, "signature").join(others, "node", "left_anti"), "members")
-    sizes = keep(members.groupBy("signature").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-    weights = members.join(sizes, "signature").groupBy("node").agg(F.sum("size").alias("weight"))
-    shared = keep(members.join(weights, "node"), "shared")
-    discard(several, members, sizes)
+    others = keep(full.select("row").join(nodes.select(F.col("node").alias("row")), "row", "left_anti"), "others")
+    emitted = full.join(bounded(others, BROADCAST_IDS), "row", "left_anti").select(F.explode("signatures").alias("signature"), F.col("row").alias("node"))
+    emitted = emitted.repartition("signature")  # shuffled once, for the counts and for what joins them; streamed through both
+    several = emitted.groupBy("signature").agg(F.count("*").alias("size")).where("size > 1")
+    members = keep(emitted.join(several.hint("shuffle_hash"), "signature"), "members")
+    shared = keep(members.drop("size").join(members.groupBy("node").agg(F.sum("size").alias("weight")), "node"), "shared")
+    discard(others, members)
     return shared
 
 
@@ -317,9 +320,9 @@ def _rarest(mixed: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int,
 
     asked = mixed.select("node", "component").distinct()
     held = keep(texts.select("node", "packed").join(asked.select("node"), "node", "left_semi").mapInArrow(sets, "node long, es array<long>"), "sets")
-    each = held.select("node", F.explode("es").alias("e"))
-    common = keep(each.groupBy("e").agg(F.count("*").alias("c")).where("c > 1"), "common")
-    order = each.join(common, "e").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "e"))).alias("es"))  # of one text
+    each = held.select("node", F.explode("es").alias("e")).repartition("e")  # shuffled once, as the parts are
+    common = each.groupBy("e").agg(F.count("*").alias("c")).where("c > 1")
+    order = each.join(common.hint("shuffle_hash"), "e").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "e"))).alias("es"))  # of one text
     order = order.join(asked, "node").join(nodes.select("node", F.col("n_shingles").alias("n"), *SKETCH), "node")
     step = math.log(1.03)
     order = order.withColumn("own", F.expr(f"cast(floor(ln(n) / {step}) as int)"))
@@ -333,7 +336,7 @@ def _rarest(mixed: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int,
     once = (F.col("a.own") < F.col("b.own")) | ((F.col("a.own") == F.col("b.own")) & (F.col("a.node") < F.col("b.node")))
     met = a.join(b, same & once & (F.col("a.component") != F.col("b.component")) & _near("a", "b", percent))
     out = keep(met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "pairs")
-    discard(held, common, order)
+    discard(held, order)
     return out
 
 
