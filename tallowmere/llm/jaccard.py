@@ -254,6 +254,7 @@ class _Verifier:
     def __init__(self, docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, percent: int, width: int):
         self.docs, self.nodes, self.columns, self.percent, self.width = docs, nodes, (id_col, text_col), percent, width
         self.texts: DataFrame | None = None
+        self.packed: list[DataFrame] = []
         self.labels = docs.sparkSession.createDataFrame([], "node long, component long")
 
     def fetch(self, asked: DataFrame) -> None:
@@ -263,6 +264,7 @@ class _Verifier:
             if asked.isEmpty():
                 return
         more = _texts(self.docs, self.nodes, asked, *self.columns, self.width)
+        self.packed.append(more)
         self.texts = more if self.texts is None else self.texts.unionByName(more)
 
     def apart(self, pairs: DataFrame) -> DataFrame:
@@ -345,7 +347,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     rows = keep(describe(docs, id_col, text_col, percent, width).withColumn("row", F.monotonically_increasing_id()), "sketches")
     nodes = rows.where("n_shingles > 0").groupBy(*KEY).agg(F.min("row").alias("node"), F.min("id").alias("id"), *[F.first(k).alias(k) for k in SKETCH])
     nodes = keep(nodes, "classes")
-    mixed = _parts_shared(rows, nodes).withColumn("component", F.col("node"))
+    shared = _parts_shared(rows, nodes)
+    keys = keep(rows.select("id", *KEY), "keys")
+    discard(rows)  # and with it the signatures
+    mixed = shared.withColumn("component", F.col("node"))
     found = _Verifier(docs, nodes, id_col, text_col, percent, width)
     turn, ended = 0, False
     while not ended:
@@ -355,21 +360,23 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
         # A leader has now met all others of its part, so only those meet again, where components differ.
         open_ = mixed.join(leaders.select("signature", F.col("leader").alias("node")), ["signature", "node"], "left_anti").drop("component")
         again = _mixed(open_, found.labels)
-        discard(leaders, led)
+        discard(leaders, led, shared)
         met = again.select("node").distinct().count()
         # Rounds go on while each takes a good part of the nodes that are still apart; the rest is left to the rarest shingles.
         ended = not met or (turn > 0 and 10 * linked < met)
-        mixed, turn = again, turn + 1
+        mixed, shared, turn = again, again, turn + 1
     if met:
         found.fetch(mixed.select("node").distinct())
         pairs = _rarest(mixed, nodes, found.texts, percent, width)
         if not pairs.isEmpty():
             found.verify(pairs)
+        discard(pairs)
+    discard(shared, *found.packed)
 
     placed = nodes.select(*KEY, "node", "id").join(found.labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = keep(placed.groupBy("component").agg(F.min("id").alias("component_id")), "smallest")
     placed = placed.join(smallest, "component").select(*KEY, F.col("id").alias("class_id"), "component_id")
-    out = rows.select("id", *KEY).join(placed, KEY, "left")
+    out = keys.join(placed, KEY, "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
