@@ -31,7 +31,7 @@ def resolve(candidates: DataFrame, matchers: list[tuple[str, str]] | None = None
     matchers = matchers or MATCHERS
     rows = candidates.where("amount_paise <> 0").withColumn("size", F.abs("amount_paise"))
     by_date = W.partitionBy("user_id", "size").orderBy("value_date", "seq")
-    apart = F.coalesce(F.datediff("value_date", F.lag("value_date").over(by_date)) > WINDOW_DAYS, F.lit(True))
+    apart = F.coalesce(F.datediff("value_date", F.lag("value_date").over(by_date)) > (BASE - LEAST) // PER_DAY, F.lit(True))
     rows = rows.withColumn("_apart", apart.cast("int")).withColumn("island", F.sum("_apart").over(by_date))
     leg = F.struct(F.col("seq").alias("s"), F.col("account_type").alias("t"), F.col("value_date").alias("v"))
     side = lambda sign: F.array_sort(F.collect_list(F.when(F.signum("amount_paise") == sign, leg)))

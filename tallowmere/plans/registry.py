@@ -286,7 +286,8 @@ def budget_net_spend(spark, d):
 def budget_projection(spark, d):
     spend = budgets.net_spend(views.ledger_long(spark, d))
     targets = views.ledger_long(spark, d).where(F.col("category").isin(EXPENSE)).select("user_id", "category", budgets.month(), (F.col("user_id") % 5 * 10000000).alias("target_paise")).distinct()
-    return budgets.utilisation(targets, spend.where("user_id % 7 <> 0"))
+    later = targets.withColumn("month", F.add_months("month", 1))  # some have no spend yet
+    return budgets.utilisation(targets.unionByName(later).distinct(), spend)
 
 
 def _figures(spark, d):
