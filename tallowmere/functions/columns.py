@@ -83,3 +83,18 @@ def indian_grouping(paise: Column) -> Column:
     digits = (whole - F.pmod(whole, F.lit(100))).cast("decimal(20,0)") / 100
     text = F.regexp_replace(digits.cast("decimal(20,0)").cast("string"), r"(?<=\d)(?=(\d\d)*\d{3}$)", ",")
     return F.concat(F.when(paise < 0, F.lit("−")).otherwise(F.lit("")), F.lit("₹"), text, F.lit("."), F.lpad(F.pmod(whole, F.lit(100)).cast("string"), 2, "0"))
+
+
+def content_hash(content: Column) -> Column:
+    """SHA-256 of a file's bytes or a text's UTF-8, in lower-case hex."""
+    return F.sha2(content, 256)
+
+
+def money_text(paise: Column) -> Column:
+    """Paise for JSON, as text: readers that know only doubles would round numbers past 2^53."""
+    return paise.cast("string")
+
+
+def money_of_text(text: Column) -> Column:
+    """Back from `money_text`; null if the text isn't a whole number."""
+    return F.when(F.trim(text).rlike(r"\A[+-]?[0-9]+\z"), F.trim(text).try_cast("bigint"))

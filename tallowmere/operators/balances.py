@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallowmere.schema import LEDGER_BROKEN, NOT_SUPPORTED, ROW_UNREADABLE, STATEMENT_TYPES, STATEMENT_UNREADABLE, TYPE_MISMATCH, TYPE_MISSING
+
 KEY = ["user_id", "account_ref"]
 
 
@@ -43,3 +45,28 @@ def type_mismatches(accounts: DataFrame, periods: DataFrame) -> DataFrame:
     expected = F.when(F.col("account_type") == "current", "savings").otherwise(F.col("account_type"))
     other = F.array_except("types", F.array(expected))
     return accounts.join(seen, KEY).select(*KEY, "account_type", F.array_join(other, ",").alias("other_types")).where("other_types <> ''")
+
+
+def reports(accounts: DataFrame, periods: DataFrame, legs: DataFrame) -> DataFrame:
+    """Each account's balance or liability, or the code of what stands against it; one account's fault leaves the others alone.
+
+    `accounts`: (user_id, account_ref, account_type). `periods` and `legs` may have `readable`, false where a
+    payload couldn't be opened; a readable leg without an amount breaks the account's ledger.
+    """
+    periods, legs = (t if "readable" in t.columns else t.withColumn("readable", F.lit(True)) for t in (periods, legs))
+    expected = F.create_map(*[F.lit(x) for pair in STATEMENT_TYPES.items() for x in pair])[F.col("account_type")]
+    kinds = periods.groupBy(*KEY).agg(F.bool_or(~F.col("readable")).alias("closed"), F.collect_set(F.when(F.col("readable"), F.col("account_type"))).alias("types"))
+    faults = legs.groupBy(*KEY).agg(F.bool_or(~F.col("readable")).alias("shut"), F.bool_or(F.col("readable") & F.col("amount_paise").isNull()).alias("broken"))
+    found = balances(legs, periods.where("readable")).join(anchors(periods.where("readable")).select(*KEY, "anchor_end", "anchor_paise"), KEY, "full")
+    out = accounts.join(kinds, KEY, "left").join(faults, KEY, "left").join(found, KEY, "left").withColumn("expected", expected)
+    code = (
+        F.when(F.col("account_type").isNull(), TYPE_MISSING)
+        .when(F.col("expected").isNull(), NOT_SUPPORTED)
+        .when(F.col("closed"), STATEMENT_UNREADABLE)
+        .when(F.size(F.array_except(F.coalesce("types", F.array().cast("array<string>")), F.array("expected"))) > 0, TYPE_MISMATCH)
+        .when(F.col("shut"), ROW_UNREADABLE)
+        .when(F.col("broken"), LEDGER_BROKEN)
+    )
+    out = out.withColumns({"code": code, "balance": F.coalesce("balance_paise", "anchor_paise")})
+    fine, card = F.col("code").isNull(), F.col("expected") == "credit_card"
+    return out.select(*KEY, "account_type", "code", F.when(fine & ~card, F.col("balance")).alias("derived_balance_paise"), F.when(fine & card, -F.col("balance")).alias("outstanding_liability_paise"), F.when(fine, F.col("anchor_end")).alias("anchor_period_end"), F.when(fine, F.coalesce("is_stale", F.lit(False))).alias("is_stale"))

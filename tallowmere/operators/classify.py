@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallowmere.schema import CATEGORY_LEAST, CATEGORY_RULES, MERCHANT_LEAST, MERCHANTS, NATURES, RULE_CONFIDENCE
+from tallowmere.schema import CATEGORY_LEAST, CATEGORY_RULES, MERCHANT_LEAST, MERCHANTS, NATURE_LEAST, NATURES, RULE_CONFIDENCE
 
 
 def _first(cases: list[tuple[Column, Column]]) -> Column:
@@ -54,6 +54,47 @@ def nature(category: Column) -> Column:
     return _first([(category == c, F.lit(n)) for c, n in NATURES.items()])
 
 
+def corrected(decided: DataFrame, asked: DataFrame) -> DataFrame:
+    """Corrections as events: `asked` (user_id, txn, category, seq) with the category and merchant that `decided` has."""
+    before = decided.select("user_id", "txn", F.col("category").alias("prior_category"), "merchant")
+    out = asked.join(before, ["user_id", "txn"], "left")
+    return out.select("user_id", "seq", "txn", "merchant", "category", "prior_category", F.lit("CategoryCorrected").alias("event_type"), F.col("user_id").cast("string").alias("corrected_by"))
+
+
+def look_up(asked: DataFrame, effective: DataFrame, out: str = "category") -> DataFrame:
+    """`out` of every asked (user_id, txn), and error where nothing was ever decided about it."""
+    found = asked.join(effective.select("user_id", "txn", out), ["user_id", "txn"], "left")
+    return found.withColumn("error", F.when(F.col(out).isNull(), F.lit(f"no_{out}_events")))
+
+
+def tag_nature(rows: DataFrame, corrections: DataFrame, model: Callable[[list[str]], list[tuple[str, int]]] | None = None) -> DataFrame:
+    """nature, nature_rule and error of (user_id, txn, category, merchant, transaction_type) rows.
+
+    The row's own last correction, then the category's rule, then a model, if one is given. Rows that aren't
+    expenses get an error and no nature.
+    """
+    mine = corrections.groupBy("user_id", "txn").agg(F.max_by("nature", "seq").alias("_mine"))
+    spent = F.coalesce(F.col("transaction_type") == "expense", F.lit(False))
+    by_rule = nature(F.col("category"))
+    own = F.when(F.col("_mine").isNotNull(), F.concat(F.lit("learned:"), F.col("txn").cast("string")))
+    out = rows.join(mine, ["user_id", "txn"], "left").withColumns({
+        "nature": F.when(spent, F.coalesce("_mine", by_rule)),
+        "nature_rule": F.when(spent, F.coalesce(own, F.when(by_rule.isNotNull(), F.concat(F.lit("rule:"), F.col("category"))))),
+        "error": F.when(~spent, F.lit("nature_on_non_expense")),
+    }).drop("_mine")
+    if model is None:
+        return out
+    text = F.when(spent, F.concat_ws(". ", F.concat(F.lit("Category: "), "category"), F.concat(F.lit("Merchant: "), "merchant")))
+    return with_model(out.withColumn("_ask", text), model, "_ask", "nature", NATURE_LEAST).drop("_ask")
+
+
+def effective_nature(tagged: DataFrame, corrections: DataFrame) -> DataFrame:
+    """(user_id, txn, nature): the row's last correction, else its last tag."""
+    system = tagged.groupBy("user_id", "txn").agg(F.max_by("nature", "seq").alias("system"))
+    person = corrections.groupBy("user_id", "txn").agg(F.max_by("nature", "seq").alias("person"))
+    return system.join(person, ["user_id", "txn"], "full").select("user_id", "txn", F.coalesce("person", "system").alias("nature")).where("nature IS NOT NULL")
+
+
 def with_model(rows: DataFrame, model: Callable[[list[str]], list[tuple[str, int]]], text: str, out: str, least: int = CATEGORY_LEAST) -> DataFrame:
     """`out` and `out`_confidence from a model (texts to names with basis points) where `out` is null; unsure ones stay null.
 
@@ -77,5 +118,3 @@ def stub_model(first: str, sure: int = 8000) -> Callable[[list[str]], list[tuple
     """A model that always gives the same answer, for tests."""
     return lambda texts: [(first, sure)] * len(texts)
 
-
-MERCHANT_MODEL_LEAST = MERCHANT_LEAST

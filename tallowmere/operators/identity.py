@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallowmere.functions.columns import canonical, identity_hash
+from tallowmere.functions.columns import canonical, canonical_ascii, identity_hash
 
 
 def with_occurrence(rows: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
@@ -14,9 +14,15 @@ def with_occurrence(rows: DataFrame, keys: list[str], order: str = "seq") -> Dat
     return rows.withColumn("occurrence_index", (F.row_number().over(W.partitionBy(*keys).orderBy(order)) - 1).cast("int"))
 
 
+def with_canonical(rows: DataFrame) -> DataFrame:
+    """canonical_narration; only rows whose narration goes beyond ASCII pass through Python."""
+    plain = F.coalesce(~F.col("narration").rlike(r"[^\x00-\x7F]"), F.lit(True))
+    return rows.where(plain).withColumn("canonical_narration", canonical_ascii(F.col("narration"))).unionByName(rows.where(~plain).withColumn("canonical_narration", canonical(F.col("narration"))))
+
+
 def with_identity(rows: DataFrame) -> DataFrame:
     """canonical_narration, occurrence_index and idempotency_hash of (user_id, account_ref, value_date, amount_paise, narration) rows."""
-    rows = rows.withColumn("canonical_narration", canonical(F.col("narration")))
+    rows = with_canonical(rows)
     rows = with_occurrence(rows, ["user_id", "account_ref", "value_date", "amount_paise", "canonical_narration"])
     return rows.withColumn("idempotency_hash", identity_hash(*map(F.col, ["account_ref", "value_date", "amount_paise", "canonical_narration", "occurrence_index"])))
 

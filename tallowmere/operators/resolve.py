@@ -54,12 +54,20 @@ def decision_hash(kind: Column, a: Column, b: Column) -> Column:
 
 def decisions(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs as decision records with the hashes of their legs; `rows` has idempotency_hash by (user_id, seq)."""
-    debit = rows.select("user_id", F.col("seq").alias("debit_seq"), F.col("idempotency_hash").alias("debit_hash"), "value_date")
+    debit = rows.select("user_id", F.col("seq").alias("debit_seq"), F.col("idempotency_hash").alias("debit_hash"), "value_date", *[c for c in ["ingestion_event_id"] if c in rows.columns])
     credit = rows.select("user_id", F.col("seq").alias("credit_seq"), F.col("idempotency_hash").alias("credit_hash"))
     out = pairs.join(debit, ["user_id", "debit_seq"]).join(credit, ["user_id", "credit_seq"])
     return out.withColumn("decision_hash", decision_hash(F.col("matched_by"), F.col("debit_hash"), F.col("credit_hash")))
 
 
+def decision_rows(decided: DataFrame) -> DataFrame:
+    """Decisions as rows of the log: on no account, without an amount, dated and sourced as their first leg.
+
+    `decided`: `decisions` of rows that carry ingestion_event_id.
+    """
+    return decided.select("user_id", F.lit("RESOLVER").alias("account_ref"), F.lit(0).cast("bigint").alias("amount_paise"), F.lit("transfer").alias("transaction_type"), F.lit("").alias("narration"), "value_date", "ingestion_event_id", F.col("decision_hash").alias("idempotency_hash"), F.col("matched_by").alias("event_type"), "debit_hash", "credit_hash", "confidence")
+
+
 def resolve_new(candidates: DataFrame, decided: DataFrame, since: int) -> DataFrame:
     """Pairs that rows after `since` make possible, given the pairs already decided, which stay as they are.
 

@@ -186,3 +186,72 @@ SELECT l_orderkey, l_linenumber, base + CASE WHEN place <= missing THEN 1 ELSE 0
     "upcast_chain": _with(TXN) + "SELECT user_id, seq, 2 AS event_version, narration, amount_paise FROM txn",
     "payload_roundtrip": _with(TXN) + "SELECT user_id, seq, user_id % 31 <> 0 AS readable, CASE WHEN user_id % 31 <> 0 THEN narration END AS narration FROM txn",
 }
+
+STAGED = """staged AS (
+  SELECT ingestion_event_id, user_id, account_ref, seq, CASE WHEN seq % 13 <> 0 THEN balance_check ELSE 'not_applicable' END AS chk FROM per
+  WHERE seq * 37 % 7200 + 3600 > 5400 AND seq % 10 <> 3
+), moved AS (
+  SELECT *, account_ref || '/' || CAST(user_id AS VARCHAR) || '/' || strftime(CAST(date_trunc('week', value_date) AS DATE), '%Y-%m-%d') AS sid FROM txn
+), counted AS (SELECT sid, count(*) AS n, CAST(sum(amount_paise) AS BIGINT) AS net FROM moved GROUP BY 1)"""
+CHANGES = """chg AS (
+  SELECT o_custkey AS account_id, CASE WHEN o_orderkey % 7 < 3 THEN 'create' WHEN o_orderkey % 7 < 6 THEN 'patch' ELSE 'deactivate' END AS op, o_orderkey AS seq,
+    o_custkey % 200 AS user_id, 'SAV_' || CAST(o_orderkey AS VARCHAR) AS account_ref, CASE WHEN o_orderkey % 5 > 0 THEN substr(o_orderpriority, 3, 128) END AS nickname,
+    CASE o_orderkey % 4 WHEN 1 THEN 'current' WHEN 2 THEN 'credit_card' WHEN 3 THEN 'loan' END AS account_type,
+    CASE WHEN o_orderkey % 3 > 0 THEN substr(CASE WHEN length(CAST(o_orderkey AS VARCHAR)) > 6 THEN CAST(o_orderkey AS VARCHAR)[:6] ELSE lpad(CAST(o_orderkey AS VARCHAR), 6, '0') END, 3, 4) END AS last4
+  FROM orders)"""
+EXPENSES = f"category IS NOT NULL AND category NOT IN {FLOWS}"
+BUDGETS = f"""bch AS (
+  SELECT user_id, category, CAST(date_trunc('month', value_date) - to_months(CAST((month(value_date) - 1) % 6 AS INTEGER)) AS DATE) AS month, seq * 100 AS target_paise,
+    CASE WHEN seq % 5 < 2 THEN 'create' WHEN seq % 5 < 4 THEN 'patch' ELSE 'delete' END AS op, seq FROM lng WHERE {EXPENSES}
+), bst AS (
+  SELECT *, (SELECT arg_max(b.op, b.seq) FROM bch b WHERE b.user_id = a.user_id AND b.category = a.category AND b.month = a.month AND b.seq < a.seq AND b.op <> 'patch') AS state FROM bch a
+), bout AS (
+  SELECT *, CASE WHEN op = 'create' AND state = 'create' THEN 'budget_duplicate' WHEN op <> 'create' AND coalesce(state, 'delete') <> 'create' THEN 'not_found' END AS code FROM bst)"""
+WEEK = "account_ref || '/' || CAST(user_id AS VARCHAR) || '/' || strftime(CAST(date_trunc('week', value_date) AS DATE), '%Y-%m-%d')"
+REPORTS = f"""acc AS (
+  SELECT DISTINCT user_id, account_ref, CASE WHEN user_id % 37 = 5 THEN NULL WHEN user_id % 41 = 6 THEN 'current' ELSE account_type END AS account_type FROM txn
+), rp AS (SELECT *, NOT (user_id % 23 = 2 AND seq % 3 = 0) AS readable FROM per
+), rl AS (SELECT user_id, account_ref, seq, {WEEK} AS sid, NOT (user_id % 17 = 3 AND seq % 5 = 0) AS readable, CASE WHEN NOT (user_id % 19 = 4 AND seq % 7 = 0) THEN amount_paise END AS amount_paise FROM txn
+), ra AS (
+  SELECT * FROM rp WHERE readable AND status = 'ingested' AND balance_check = 'pass' AND closing_paise IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY user_id, account_ref ORDER BY period_end DESC, seq DESC) = 1
+), rb AS (
+  SELECT c.user_id, c.account_ref, c.account_type,
+    CASE WHEN c.account_type IS NULL THEN 'account_type_missing' WHEN c.account_type NOT IN ('savings', 'current', 'credit_card') THEN 'balance_not_supported_for_account_type'
+      WHEN EXISTS (SELECT 1 FROM rp p WHERE p.user_id = c.user_id AND p.account_ref = c.account_ref AND NOT p.readable) THEN 'statement_decryption_failed'
+      WHEN EXISTS (SELECT 1 FROM rp p WHERE p.user_id = c.user_id AND p.account_ref = c.account_ref AND p.account_type <> replace(c.account_type, 'current', 'savings')) THEN 'account_type_mismatch'
+      WHEN EXISTS (SELECT 1 FROM rl l WHERE l.user_id = c.user_id AND l.account_ref = c.account_ref AND NOT l.readable) THEN 'transaction_decryption_failed'
+      WHEN EXISTS (SELECT 1 FROM rl l WHERE l.user_id = c.user_id AND l.account_ref = c.account_ref AND l.amount_paise IS NULL) THEN 'ledger_integrity_error' END AS code,
+    a.period_end, a.closing_paise + coalesce((SELECT sum(l.amount_paise) FROM rl l JOIN rp p ON p.ingestion_event_id = l.sid WHERE p.readable AND l.user_id = c.user_id AND l.account_ref = c.account_ref AND p.period_end > a.period_end), 0) AS total
+  FROM acc c LEFT JOIN ra a ON a.user_id = c.user_id AND a.account_ref = c.account_ref)"""
+NATURES_OF = NATURE.rsplit(" END", 1)[0] + " END"
+CORRECTED = "nat AS (SELECT user_id, seq AS txn, (['essential_fixed', 'essential_variable', 'discretionary', 'luxury'])[CAST((seq + 1) % 4 + 1 AS INTEGER)] AS mine FROM lng WHERE seq % 29 = 3)"
+
+ORACLE |= {
+    "content_hash": "SELECT event_id, sha256(props) AS content_hash FROM events",
+    "money_text": _with(LONG) + "SELECT seq, CAST(amount_paise * 1000003 AS VARCHAR) AS text, amount_paise * 1000003 AS back_paise FROM lng",
+    "upload_preview": _with(TXN, STATEMENTS, STAGED) + "SELECT ingestion_event_id AS session_id, user_id, chk AS balance_check, 9500 AS confidence, coalesce(n, 0) AS row_count, coalesce(net, 0) AS net_paise FROM staged LEFT JOIN counted ON sid = ingestion_event_id",
+    "commit_statements": _with(TXN, STATEMENTS, STAGED) + "SELECT ingestion_event_id, user_id, CASE WHEN chk = 'fail' THEN 'rejected' ELSE 'ingested' END AS status, CASE WHEN chk = 'fail' THEN 0 ELSE coalesce(n, 0) END AS records_added, sha256(ingestion_event_id) AS content_hash, chk = 'fail' AS retained FROM staged LEFT JOIN counted ON sid = ingestion_event_id",
+    "commit_events": _with(TXN, STATEMENTS, STAGED) + "SELECT ingestion_event_id, m.user_id, m.seq, amount_paise, CASE WHEN amount_paise < 0 THEN 'debit' ELSE 'credit' END AS transaction_type, 'TransactionIngested' AS event_type FROM moved m JOIN staged s ON m.sid = s.ingestion_event_id WHERE chk <> 'fail'",
+    "append_order": _with(TXN) + "SELECT user_id, seq AS source_seq, CAST(row_number() OVER (PARTITION BY user_id ORDER BY seq) AS INTEGER) AS place, true AS is_after FROM txn",
+    "account_stream": _with(TXN) + "SELECT user_id, seq, account_ref AS aggregate_id, amount_paise FROM txn WHERE account_ref = 'SAV_1' AND seq > 100",
+    "replay_from_snapshot": _with(TXN) + "SELECT user_id, count(*) AS events, min(seq) AS first_seq, max(seq) AS last_seq FROM txn GROUP BY 1",
+    "candidate_defaults": _with(TXN) + "SELECT user_id, seq, account_ref, CASE WHEN seq % 3 = 0 THEN 'savings' ELSE account_type END AS account_type, 'expense' AS transaction_type, amount_paise FROM txn",
+    "active_keys": "SELECT user_id, max(user_id * 10 + n) AS key_id FROM (SELECT DISTINCT CAST(user_id AS BIGINT) AS user_id FROM events), (VALUES (0), (1), (2)) k(n) WHERE n <= user_id % 3 AND (user_id + n) % 4 <> 1 GROUP BY 1",
+    "accounts_current": _with(CHANGES) + """SELECT account_id, arg_min(user_id, seq) FILTER (op = 'create') AS user_id, arg_min(account_ref, seq) FILTER (op = 'create') AS account_ref, arg_max(nickname, seq) FILTER (op <> 'deactivate' AND nickname IS NOT NULL) AS nickname,
+  arg_max(account_type, seq) FILTER (op <> 'deactivate' AND account_type IS NOT NULL) AS account_type, arg_max(last4, seq) FILTER (op <> 'deactivate' AND last4 IS NOT NULL) AS last4,
+  CASE WHEN bool_or(op = 'deactivate') THEN 'deactivated' ELSE 'pending' END AS sync_status FROM chg GROUP BY 1 HAVING bool_or(op = 'create')""",
+    "account_requests": _with(CHANGES) + "SELECT seq, nullif(concat_ws(',', CASE WHEN nickname IS NULL OR length(nickname) NOT BETWEEN 1 AND 128 THEN 'nickname' END, CASE WHEN coalesce(account_type, 'loan') = 'loan' THEN 'account_type' END, CASE WHEN seq % 11 = 0 THEN 'last4' END), '') AS wrong FROM chg WHERE op = 'create'",
+    "budget_outcomes": _with(LONG, BUDGETS) + "SELECT user_id, category, month, seq, op, code FROM bout",
+    "budgets_current": _with(LONG, BUDGETS) + "SELECT user_id, category, month, arg_max(target_paise, seq) AS target_paise FROM bout WHERE code IS NULL GROUP BY 1, 2, 3 HAVING arg_max(op, seq) <> 'delete'",
+    "budget_requests": _with(LONG) + f"SELECT seq, nullif(concat_ws(',', CASE WHEN NOT ({EXPENSES}) THEN 'category' END, CASE WHEN day(value_date) <> 1 THEN 'month' END, CASE WHEN amount_paise <= 0 THEN 'target_paise' END), '') AS wrong FROM lng",
+    "balance_reports": _with(TXN, STATEMENTS, REPORTS) + """SELECT user_id, account_ref, account_type, code, CAST(CASE WHEN code IS NULL AND account_type <> 'credit_card' THEN total END AS BIGINT) AS derived_balance_paise,
+  CAST(CASE WHEN code IS NULL AND account_type = 'credit_card' THEN -total END AS BIGINT) AS outstanding_liability_paise, CASE WHEN code IS NULL THEN period_end END AS anchor_period_end, CASE WHEN code IS NULL THEN false END AS is_stale FROM rb""",
+    "resolver_decision_rows": _with(TXN, ID, cascade(), recursive=True) + f"""SELECT p.user_id, 'RESOLVER' AS account_ref, CAST(0 AS BIGINT) AS amount_paise, 'transfer' AS transaction_type, '' AS narration, a.value_date, a.sid AS ingestion_event_id,
+  sha256(matched_by || ':' || least(a.idempotency_hash, b.idempotency_hash) || ':' || greatest(a.idempotency_hash, b.idempotency_hash)) AS idempotency_hash, matched_by AS event_type
+  FROM pairs p JOIN (SELECT *, {WEEK} AS sid FROM ident) a ON a.seq = debit_seq JOIN ident b ON b.seq = credit_seq""",
+    "category_corrections": _with(TXN, MERCHANTS, CORRECTIONS, LEARNED, CLASSIFIED) + "SELECT k.user_id, k.seq, k.txn, k.merchant, k.category, c.category AS prior_category, 'CategoryCorrected' AS event_type, CAST(k.user_id AS VARCHAR) AS corrected_by FROM corr k JOIN cls c ON c.user_id = k.user_id AND c.seq = k.txn",
+    "category_lookup": _with(TXN, MERCHANTS, CORRECTIONS, LEARNED, CLASSIFIED) + "SELECT c.user_id, c.seq AS txn, coalesce(k.category, c.category) AS category, CASE WHEN coalesce(k.category, c.category) IS NULL THEN 'no_category_events' END AS error FROM cls c LEFT JOIN corr k ON k.user_id = c.user_id AND k.txn = c.seq",
+    "nature_tag_corrected": _with(LONG, CORRECTED) + f"SELECT l.seq, CASE WHEN amount_paise < 0 THEN coalesce(mine, {NATURES_OF}) END AS nature, CASE WHEN amount_paise < 0 THEN coalesce('learned:' || CAST(txn AS VARCHAR), CASE WHEN {NATURES_OF} IS NOT NULL THEN 'rule:' || category END) END AS nature_rule, CASE WHEN amount_paise >= 0 THEN 'nature_on_non_expense' END AS error FROM lng l LEFT JOIN nat ON nat.txn = l.seq AND nat.user_id = l.user_id",
+    "effective_nature": _with(LONG, CORRECTED) + f"SELECT user_id, txn, nature FROM (SELECT l.user_id, l.seq AS txn, coalesce(mine, CASE WHEN amount_paise < 0 THEN {NATURES_OF} END) AS nature FROM lng l LEFT JOIN nat ON nat.txn = l.seq AND nat.user_id = l.user_id) WHERE nature IS NOT NULL",
+}

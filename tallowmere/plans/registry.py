@@ -7,10 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallowmere.functions import columns as c
-from tallowmere.operators import balances, budgets, classify, identity, ledger, resolve
+from tallowmere.operators import balances, budgets, classify, entities, identity, ledger, resolve
 from tallowmere.plans.oracles import ORACLE
 from tallowmere.schema import CATEGORIES, EXPENSE
-from tallowmere.sources import log, views
+from tallowmere.sources import log, staging, views
 
 QUERIES: dict = {}
 
@@ -347,3 +347,189 @@ def payload_roundtrip(spark, d):
     sealed = log.seal(log.as_events(_txn(spark, d)), keys.withColumn("key", F.substring(F.sha2(F.col("user_id").cast("string"), 256), 1, 32)))
     opened = log.unseal(sealed, keys)
     return opened.select("user_id", "seq", F.col("payload").isNotNull().alias("readable"), log.field("narration"))
+
+
+@query
+def content_hash(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", c.content_hash(F.col("props")).alias("content_hash"))
+
+
+@query
+def money_text(spark, d):
+    rows = views.ledger_long(spark, d).withColumn("text", c.money_text(F.col("amount_paise") * 1000003))
+    return rows.select("seq", "text", c.money_of_text(F.col("text")).alias("back_paise"))
+
+
+NOW = "timestamp'2024-02-01 01:30:00'"
+
+
+def _staged(spark, d):
+    """Every statement as an upload of the two hours before, with its rows; some have no check."""
+    txn = _txn(spark, d)
+    check = F.when(F.col("seq") % 13 != 0, F.col("balance_check")).otherwise("not_applicable")
+    created = F.expr("timestamp'2024-02-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, seq * 37 % 7200)")
+    p = views.statement_periods(txn)
+    sessions = p.select(F.col("ingestion_event_id").alias("session_id"), "user_id", "account_ref", "account_type", "period_start", "period_end", "opening_paise", "closing_paise", check.alias("balance_check"), F.lit(9500).alias("confidence"), F.sha2("ingestion_event_id", 256).alias("content_hash"), created.alias("created_at"), "seq")
+    sid = F.concat_ws("/", "account_ref", F.col("user_id").cast("string"), F.date_format(F.trunc("value_date", "week"), "yyyy-MM-dd"))
+    ended = sessions.where("seq % 10 = 3").select("session_id")
+    return staging.live(staging.with_expiry(sessions), F.expr(NOW), ended), txn.withColumn("session_id", sid)
+
+
+@query
+def upload_preview(spark, d):
+    """Sessions that are still there at a time, after others ran out or were abandoned."""
+    return staging.preview(*_staged(spark, d)).select("session_id", "user_id", "balance_check", "confidence", "row_count", "net_paise")
+
+
+@query
+def commit_statements(spark, d):
+    done = staging.confirm(*_staged(spark, d))
+    kept = done["artifacts"].select("ingestion_event_id", "content_hash", "retained")
+    return done["statements"].join(kept, "ingestion_event_id").select("ingestion_event_id", "user_id", "status", "records_added", "content_hash", "retained")
+
+
+@query
+def commit_events(spark, d):
+    return staging.confirm(*_staged(spark, d))["events"].select("ingestion_event_id", "user_id", "seq", "amount_paise", "transaction_type", "event_type")
+
+
+@query
+def append_order(spark, d):
+    """Rows numbered as the log would: each user's in order, after what is there."""
+    rows = identity.with_identity(_txn(spark, d)).withColumnRenamed("seq", "source_seq")
+    new = log.numbered(rows, 1000, ["source_seq"])
+    place = F.row_number().over(W.partitionBy("user_id").orderBy("seq"))
+    return new.select("user_id", "source_seq", place.alias("place"), (F.col("seq") > 1000).alias("is_after"))
+
+
+@query
+def account_stream(spark, d):
+    events = log.as_events(_txn(spark, d))
+    return log.stream(events, "SAV_1", 100).select("user_id", "seq", "aggregate_id", log.field("amount_paise", "bigint")).orderBy("user_id", "seq")
+
+
+@query
+def replay_from_snapshot(spark, d):
+    events = log.as_events(_txn(spark, d))
+    return log.replay(log.events_list(events.where("seq <= 400")), events, 400).select("user_id", "events", "first_seq", "last_seq")
+
+
+@query
+def candidate_defaults(spark, d):
+    """Events, a third of them without an account type, as typed rows."""
+    bare = F.regexp_replace("payload", ',"account_type":"[a-z_]+"', "")
+    events = log.as_events(_txn(spark, d)).withColumn("payload", F.when(F.col("seq") % 3 == 0, bare).otherwise(F.col("payload")))
+    return log.candidates(events).select("user_id", "seq", "account_ref", "account_type", "transaction_type", "amount_paise")
+
+
+@query
+def active_keys(spark, d):
+    """Keys of users: an old one, a new one, and one deactivated."""
+    e = _txn(spark, d).select("user_id").distinct()
+    n = F.explode(F.sequence(F.lit(0), F.pmod("user_id", F.lit(3)).cast("int"))).alias("n")
+    keys = e.select("user_id", n).select("user_id", (F.col("user_id") * 10 + F.col("n")).alias("key_id"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("n") * 7).alias("created_at"), F.when(F.pmod(F.col("user_id") + F.col("n"), F.lit(4)) == 1, F.lit("2024-02-01").cast("date")).alias("deactivated_at"))
+    return entities.active_keys(keys)
+
+
+def _account_changes(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet").withColumn("r", F.pmod("o_orderkey", F.lit(7)))
+    op = F.when(F.col("r") < 3, "create").when(F.col("r") < 6, "patch").otherwise("deactivate")
+    kinds = F.array(*map(F.lit, ["savings", "current", "credit_card", "loan"]))
+    return o.select(F.col("o_custkey").alias("account_id"), op.alias("op"), F.col("o_orderkey").alias("seq"), (F.col("o_custkey") % 200).alias("user_id"), F.concat(F.lit("SAV_"), F.col("o_orderkey").cast("string")).alias("account_ref"), F.when(F.col("o_orderkey") % 5 > 0, F.substring("o_orderpriority", 3, 128)).alias("nickname"), F.when(F.col("o_orderkey") % 4 > 0, F.element_at(kinds, (F.col("o_orderkey") % 4 + 1).cast("int"))).alias("account_type"), F.when(F.col("o_orderkey") % 3 > 0, F.substring(F.lpad(F.col("o_orderkey").cast("string"), 6, "0"), 3, 4)).alias("last4"))
+
+
+@query
+def accounts_current(spark, d):
+    return entities.accounts(_account_changes(spark, d))
+
+
+@query
+def account_requests(spark, d):
+    """Which fields of each request to make an account are wrong."""
+    made = _account_changes(spark, d).where("op = 'create'")
+    last4 = F.when(F.col("seq") % 11 == 0, F.lit("12a4")).otherwise(F.col("last4"))
+    return made.select("seq", entities.wrong_account(F.col("nickname"), F.col("account_type"), last4, F.col("account_ref")).alias("wrong"))
+
+
+def _budget_changes(spark, d):
+    rows = views.ledger_long(spark, d).where(F.col("category").isin(EXPENSE))
+    r = F.pmod(F.col("seq"), F.lit(5))
+    op = F.when(r < 2, "create").when(r < 4, "patch").otherwise("delete")
+    month = F.trunc(F.add_months("value_date", -(F.month("value_date") - 1) % 6), "month")
+    return rows.select("user_id", "category", month.alias("month"), (F.col("seq") * 100).alias("target_paise"), op.alias("op"), "seq")
+
+
+@query
+def budget_outcomes(spark, d):
+    return entities.budget_outcomes(_budget_changes(spark, d)).select("user_id", "category", "month", "seq", "op", "code")
+
+
+@query
+def budgets_current(spark, d):
+    return entities.budgets(_budget_changes(spark, d))
+
+
+@query
+def budget_requests(spark, d):
+    rows = views.ledger_long(spark, d)
+    return rows.select("seq", entities.wrong_budget(F.col("category"), F.col("value_date"), F.col("amount_paise")).alias("wrong"))
+
+
+@query
+def balance_reports(spark, d):
+    """Every account's balance or what stands against it: types unset or unfit, payloads that don't open, a broken ledger."""
+    txn = _txn(spark, d)
+    u = F.col("user_id")
+    kind = F.when(u % 37 == 5, F.lit(None)).when(u % 41 == 6, "current").otherwise(F.col("account_type"))
+    accounts = txn.select("user_id", "account_ref", kind.alias("account_type")).distinct()
+    sid = F.concat_ws("/", "account_ref", u.cast("string"), F.date_format(F.trunc("value_date", "week"), "yyyy-MM-dd"))
+    legs = txn.withColumns({"ingestion_event_id": sid, "readable": ~((u % 17 == 3) & (F.col("seq") % 5 == 0)), "amount_paise": F.when(~((u % 19 == 4) & (F.col("seq") % 7 == 0)), F.col("amount_paise"))})
+    periods = views.statement_periods(txn).withColumn("readable", ~((u % 23 == 2) & (F.col("seq") % 3 == 0)))
+    return balances.reports(accounts, periods, legs)
+
+
+@query
+def resolver_decision_rows(spark, d):
+    rows = identity.with_identity(_txn(spark, d))
+    sid = F.concat_ws("/", "account_ref", F.col("user_id").cast("string"), F.date_format(F.trunc("value_date", "week"), "yyyy-MM-dd"))
+    rows = rows.withColumn("ingestion_event_id", sid)
+    out = resolve.decision_rows(resolve.decisions(resolve.resolve(rows), rows))
+    return out.select("user_id", "account_ref", "amount_paise", "transaction_type", "narration", "value_date", "ingestion_event_id", "idempotency_hash", "event_type")
+
+
+def _decided(spark, d):
+    rows = _named(spark, d)
+    return classify.with_category(rows, classify.learned_rules(_corrections(rows))).withColumn("txn", F.col("seq"))
+
+
+@query
+def category_corrections(spark, d):
+    asked = _corrections(_named(spark, d)).select("user_id", "txn", "category", "seq")
+    return classify.corrected(_decided(spark, d), asked).select("user_id", "seq", "txn", "merchant", "category", "prior_category", "event_type", "corrected_by")
+
+
+@query
+def category_lookup(spark, d):
+    """The category of every row asked for, or the error that nothing was decided."""
+    return classify.look_up(_txn(spark, d).select("user_id", F.col("seq").alias("txn")), effective_category(spark, d))
+
+
+def _natures(spark, d):
+    names = F.array(*map(F.lit, ["essential_fixed", "essential_variable", "discretionary", "luxury"]))
+    rows = views.ledger_long(spark, d).withColumns({"txn": F.col("seq"), "merchant": F.lit(None).cast("string"), "transaction_type": F.when(F.col("amount_paise") < 0, "expense").otherwise("income")})
+    n = F.explode(F.array(F.lit(0), F.lit(1))).alias("n")
+    asked = rows.where("seq % 29 = 3").select("user_id", "txn", "seq", n)
+    return rows, asked.select("user_id", "txn", F.element_at(names, (F.pmod(F.col("txn") + F.col("n"), F.lit(4)) + 1).cast("int")).alias("nature"), (F.col("seq") * 2 + F.col("n")).alias("seq"))
+
+
+@query
+def nature_tag_corrected(spark, d):
+    return classify.tag_nature(*_natures(spark, d)).select("seq", "nature", "nature_rule", "error")
+
+
+@query
+def effective_nature(spark, d):
+    """Natures after corrections that came later than the tags."""
+    rows, corrections = _natures(spark, d)
+    tags = classify.tag_nature(rows, corrections.limit(0)).where("nature IS NOT NULL")
+    return classify.effective_nature(tags, corrections)

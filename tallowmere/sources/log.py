@@ -74,6 +74,39 @@ def unseal(events: DataFrame, keys: DataFrame) -> DataFrame:
     return events.join(keys, "user_id", "left").withColumn("payload", F.try_aes_decrypt("payload", "key", F.lit("GCM")).cast("string")).drop("key")
 
 
+def numbered(rows: DataFrame, last_seq: int, order: list[str]) -> DataFrame:
+    """New rows with `seq` after `last_seq`, rising in `order`, with gaps; a row without a hash ends the job.
+
+    Numbers come from ranges of `order`, so no task sorts all rows of a user.
+    """
+    hashed = F.when(F.col("idempotency_hash").isNotNull(), F.col("idempotency_hash")).otherwise(F.raise_error(F.lit("a row has no idempotency_hash")))
+    out = rows.withColumn("idempotency_hash", hashed).repartitionByRange(*order).sortWithinPartitions(*order)
+    return out.withColumn("seq", F.lit(last_seq + 1) + F.monotonically_increasing_id())
+
+
+def stream(events: DataFrame, account_ref: str | None = None, since: int = -1) -> DataFrame:
+    """One account's events (all accounts': none given) after `since`, in order for each user."""
+    mine = events.where(F.col("seq") > since)
+    return mine if account_ref is None else mine.where(F.col("aggregate_id") == account_ref)
+
+
+def replay(state: DataFrame, events: DataFrame, since: int) -> DataFrame:
+    """`events_list` of a snapshot taken at `since` and the events after it, without reading the earlier ones again."""
+    both = state.unionByName(events_list(events.where(F.col("seq") > since)))
+    return both.groupBy("user_id").agg(F.sum("events").alias("events"), F.min("first_seq").alias("first_seq"), F.max("last_seq").alias("last_seq"))
+
+
+def candidates(events: DataFrame) -> DataFrame:
+    """Typed rows from upcast events: an absent account type is savings, an absent account the event's own, an absent type expense."""
+    return upcast(events).select(
+        "user_id", "seq",
+        F.coalesce(F.get_json_object("payload", "$.account_ref"), "aggregate_id").alias("account_ref"),
+        F.coalesce(F.get_json_object("payload", "$.account_type"), F.lit("savings")).alias("account_type"),
+        F.coalesce(F.get_json_object("payload", "$.transaction_type"), F.lit("expense")).alias("transaction_type"),
+        field("narration"), field("amount_paise", "bigint"),
+    )
+
+
 def append(events: DataFrame, path: str) -> None:
     """Appends to the log; nothing here rewrites it."""
     events.withColumn("bucket", F.pmod(F.hash("user_id"), F.lit(64))).write.mode("append").partitionBy("bucket").parquet(path)
@@ -84,13 +117,14 @@ def read(spark: SparkSession, path: str, since: int = -1) -> DataFrame:
 
 
 def snapshot(view: DataFrame, path: str, name: str, last_seq: int) -> None:
-    view.write.parquet(f"{path}/{name}/last_seq={last_seq}")
+    view.write.parquet(f"{path}/{name}/up_to={last_seq}")
 
 
 def latest_snapshot(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """The rows of the newest snapshot, with `up_to`, the last event in it."""
     rows = spark.read.parquet(f"{path}/{name}")
-    last = rows.agg(F.max("last_seq")).first()[0]
-    return rows.where(F.col("last_seq") == last)
+    last = rows.agg(F.max("up_to")).first()[0]
+    return rows.where(F.col("up_to") == last)
 
 
 def split_by_weight(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
