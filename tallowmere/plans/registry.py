@@ -26,7 +26,7 @@ def _txn(spark, d):
 
 @query
 def canonical_narration_ascii(spark: SparkSession, d: str) -> DataFrame:
-    return _txn(spark, d).select("user_id", "seq", c.canonical(F.col("narration")).alias("canonical_narration"))
+    return identity.with_canonical(_txn(spark, d)).select("user_id", "seq", "canonical_narration")
 
 
 @query
