@@ -1,23 +1,29 @@
 """The resolver: pairs debits with credits that offset them, greedily and in order of priority.
 
 Only rows of equal size pair, and a row is claimed once, so the cascade of matchers falls apart by user and
-absolute amount; further by islands of dates, since no pair spans more than the accepted gap. Each island's
-debits and credits are folded in order of `seq`, by higher-order functions alone.
+absolute amount; further by islands of dates, since no pair spans more than the accepted gap. One shuffle
+brings rows of a user and amount together by date; each task streams through them and folds an island when it
+is over. Who is claimed depends on who was before, by `seq` and not by date, so this fold is plain code; it
+takes a step for each row, kind of account and day of the accepted gap, however long the island is.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 WINDOW_DAYS, BASE, SAME_DAY, PER_DAY, LEAST = 3, 9000, 500, 200, 8500
-#: Matchers by priority: (name, condition on debit d and credit c).
-MATCHERS = [
-    ("transfer", "d.t = 'savings' AND c.t = 'savings'"),
-    ("credit_card_payment", "d.t = 'savings' AND c.t = 'credit_card'"),
-    ("fd_booking", "d.t = 'savings' AND c.t = 'fd'"),
-    ("reversal", "d.t = c.t"),
+REACH = min(WINDOW_DAYS, (BASE - LEAST) // PER_DAY)
+#: Matchers by priority: (name, whether an account type of the debit and one of the credit fit).
+MATCHERS: list[tuple[str, Callable[[str, str], bool]]] = [
+    ("transfer", lambda debit, credit: debit == credit == "savings"),
+    ("credit_card_payment", lambda debit, credit: (debit, credit) == ("savings", "credit_card")),
+    ("fd_booking", lambda debit, credit: (debit, credit) == ("savings", "fd")),
+    ("reversal", lambda debit, credit: debit == credit),
 ]
 
 
@@ -26,25 +32,80 @@ def score_sql(gap: str) -> str:
     return f"CASE WHEN {gap} > {WINDOW_DAYS} THEN 0 WHEN {gap} = 0 THEN {BASE + SAME_DAY} ELSE greatest(0, {BASE} - {PER_DAY} * {gap}) END"
 
 
-def resolve(candidates: DataFrame, matchers: list[tuple[str, str]] | None = None) -> DataFrame:
-    """user_id, debit_seq, credit_seq, matched_by, confidence of every pair among (user_id, seq, account_type, amount_paise, value_date) rows."""
-    matchers = matchers or MATCHERS
-    rows = candidates.where("amount_paise <> 0").withColumn("size", F.abs("amount_paise"))
-    by_date = W.partitionBy("user_id", "size").orderBy("value_date", "seq")
-    apart = F.coalesce(F.datediff("value_date", F.lag("value_date").over(by_date)) > (BASE - LEAST) // PER_DAY, F.lit(True))
-    rows = rows.withColumn("_apart", apart.cast("int")).withColumn("island", F.sum("_apart").over(by_date))
-    leg = F.struct(F.col("seq").alias("s"), F.col("account_type").alias("t"), F.col("value_date").alias("v"))
-    side = lambda sign: F.array_sort(F.collect_list(F.when(F.signum("amount_paise") == sign, leg)))
-    groups = rows.groupBy("user_id", "size", "island").agg(side(-1.0).alias("debits"), side(1.0).alias("credits")).where("size(debits) > 0 AND size(credits) > 0")
-    pairs = "cast(array() as array<struct<d: bigint, c: bigint, m: string, gap: int>>)"
-    groups = groups.withColumn("pairs", F.expr(pairs))
+def paired(debits: list[tuple], credits: list[tuple], matchers: list) -> Iterator[tuple]:
+    """(debit, credit, matcher, gap in days) of legs (seq, account type, day) of one size.
+
+    Each matcher takes the debits that are left in order of seq, and gives each the free credit with the smallest
+    seq that fits and is near enough.
+    """
+    free: dict[tuple, list] = {}
+    for seq, kind, day in sorted(set(credits), reverse=True):
+        free.setdefault((kind, day), []).append(seq)  # the smallest last
+    kinds, left = {kind for kind, _ in free}, sorted(set(debits))
     for name, fits in matchers:
-        gap = "abs(datediff(d.v, c.v))"
-        free = f"filter(credits, c -> {fits} AND {score_sql(gap)} >= {LEAST} AND NOT exists(a, p -> p.c = c.s))"
-        found = f"transform(slice({free}, 1, 1), c -> named_struct('d', d.s, 'c', c.s, 'm', '{name}', 'gap', {gap}))"
-        groups = groups.withColumn("pairs", F.expr(f"aggregate(debits, pairs, (a, d) -> CASE WHEN exists(a, p -> p.d = d.s) THEN a ELSE concat(a, {found}) END)"))
-    out = groups.select("user_id", F.explode("pairs").alias("p"))
-    return out.select("user_id", F.col("p.d").alias("debit_seq"), F.col("p.c").alias("credit_seq"), F.col("p.m").alias("matched_by"), F.expr(score_sql("p.gap")).cast("int").alias("confidence"))
+        still = []
+        for seq, kind, day in left:
+            near = ((other, day + step) for other in kinds if fits(kind, other) for step in range(-REACH, REACH + 1))
+            credit, at = min(((free[k][-1], k) for k in near if free.get(k)), default=(None, None))
+            if at is None:
+                still.append((seq, kind, day))
+            else:
+                yield seq, free[at].pop(), name, abs(day - at[1])
+        left = still
+
+
+def _starts(rows: pa.RecordBatch | pa.Table, before: tuple | None) -> tuple[np.ndarray, tuple]:
+    """Where islands begin in rows sorted by user, size and day, given the row before them; and the last row."""
+    user, size, day = (rows[c].to_numpy(zero_copy_only=False) if isinstance(rows, pa.RecordBatch) else rows[c].to_numpy() for c in ["user_id", "size", "day"])
+    new = np.r_[True, (user[1:] != user[:-1]) | (size[1:] != size[:-1]) | (day[1:] - day[:-1] > REACH)]
+    new[0] = before is None or before[:2] != (user[0], size[0]) or day[0] - before[2] > REACH
+    return np.flatnonzero(new), (user[-1], size[-1], day[-1])
+
+
+def resolve(candidates: DataFrame, matchers: list[tuple[str, Callable[[str, str], bool]]] | None = None) -> DataFrame:
+    """user_id, debit_seq, credit_seq, matched_by, confidence of every pair among (user_id, seq, account_type, amount_paise, value_date) rows.
+
+    Rows with a null in one of these, and amounts of zero, pair with nothing; repeated rows count once.
+    """
+    matchers = matchers or MATCHERS
+
+    def islands(rows: pa.Table) -> pa.RecordBatch:
+        starts, _ = _starts(rows, None)
+        ends, debit = np.r_[starts[1:], rows.num_rows], rows["is_debit"].to_numpy()
+        debits = np.add.reduceat(debit.astype(np.int64), starts)
+        found, at = [], []
+        for k in np.flatnonzero((debits > 0) & (debits < ends - starts)):
+            part = rows.slice(starts[k], ends[k] - starts[k])
+            legs = list(zip(*(part[c].to_pylist() for c in ["seq", "account_type", "day", "is_debit"])))
+            pairs = list(paired([x[:3] for x in legs if x[3]], [x[:3] for x in legs if not x[3]], matchers))
+            found += pairs
+            at += [starts[k]] * len(pairs)
+        columns = list(zip(*found)) or [[], [], [], []]
+        users = rows["user_id"].take(pa.array(at, pa.int64())).combine_chunks()
+        kinds = [rows.schema.field("seq").type, rows.schema.field("seq").type, pa.string(), pa.int32()]
+        return pa.RecordBatch.from_arrays([users, *(pa.array(c, t) for c, t in zip(columns, kinds))], ["user_id", "debit_seq", "credit_seq", "matched_by", "gap"])
+
+    def fold(batches):
+        held, last = [], None  # the island that isn't over yet
+        for b in batches:
+            if not b.num_rows:
+                continue
+            starts, last = _starts(b, last)
+            if len(starts):
+                whole = [*held, b.slice(0, starts[-1])]
+                if sum(w.num_rows for w in whole):
+                    yield islands(pa.Table.from_batches(whole))
+                held = []
+            held.append(b.slice(starts[-1] if len(starts) else 0))
+        if held:
+            yield islands(pa.Table.from_batches(held))
+
+    named = {f.name: f.dataType.simpleString() for f in candidates.schema}
+    rows = candidates.where("amount_paise <> 0").dropna(subset=["user_id", "seq", "account_type", "value_date"])
+    rows = rows.select("user_id", F.abs("amount_paise").alias("size"), F.unix_date("value_date").alias("day"), "seq", "account_type", F.expr("amount_paise < 0").alias("is_debit"))
+    rows = rows.repartition("user_id", "size").sortWithinPartitions("user_id", "size", "day")
+    out = rows.mapInArrow(fold, f"user_id {named['user_id']}, debit_seq {named['seq']}, credit_seq {named['seq']}, matched_by string, gap int")
+    return out.select("user_id", "debit_seq", "credit_seq", "matched_by", F.expr(score_sql("gap")).cast("int").alias("confidence"))
 
 
 def decision_hash(kind: Column, a: Column, b: Column) -> Column:

@@ -46,26 +46,29 @@ LONG = f"""lng AS (
   FROM orders)"""
 
 
-def cascade(priorities: str = "(0), (1), (2), (3)") -> str:
-    """Pairs of the given matchers, by stepping through (matcher, debit) in order within each user and size."""
-    return f"""legs AS (
-  SELECT user_id, abs(amount_paise) AS size, seq, account_type AS t, value_date AS v, amount_paise < 0 AS is_debit FROM txn WHERE amount_paise <> 0
-), credits AS (
-  SELECT user_id, size, list(struct_pack(s := seq, t := t, v := v) ORDER BY seq) AS cs FROM legs WHERE NOT is_debit GROUP BY ALL
-), tasks AS (
+def cascade(priorities: str = "(0), (1), (2), (3)", source: str = "txn", n: str = "") -> str:
+    """Pairs of the given matchers, by stepping through (matcher, debit) in order within each user and size.
+
+    `source`: the rows; `n`: what the names of the steps end in.
+    """
+    return f"""legs{n} AS (
+  SELECT user_id, abs(amount_paise) AS size, seq, account_type AS t, value_date AS v, amount_paise < 0 AS is_debit FROM {source} WHERE amount_paise <> 0
+), credits{n} AS (
+  SELECT user_id, size, list(struct_pack(s := seq, t := t, v := v) ORDER BY seq) AS cs FROM legs{n} WHERE NOT is_debit GROUP BY ALL
+), tasks{n} AS (
   SELECT user_id, size, seq, t, v, p, row_number() OVER (PARTITION BY user_id, size ORDER BY p, seq) AS step
-  FROM legs, (VALUES {priorities}) m(p) WHERE is_debit AND (p = 3 OR t = 'savings')
-), steps AS (
-  SELECT user_id, size, CAST(0 AS BIGINT) AS step, CAST([] AS BIGINT[]) AS claimed, CAST(NULL AS BIGINT) AS d, CAST(NULL AS BIGINT) AS c, CAST(NULL AS INTEGER) AS p, CAST(NULL AS BIGINT) AS gap FROM credits
+  FROM legs{n}, (VALUES {priorities}) m(p) WHERE is_debit AND (p = 3 OR t = 'savings')
+), steps{n} AS (
+  SELECT user_id, size, CAST(0 AS BIGINT) AS step, CAST([] AS BIGINT[]) AS claimed, CAST(NULL AS BIGINT) AS d, CAST(NULL AS BIGINT) AS c, CAST(NULL AS INTEGER) AS p, CAST(NULL AS BIGINT) AS gap FROM credits{n}
   UNION ALL
   SELECT r.user_id, r.size, k.step, CASE WHEN hit.s IS NULL THEN r.claimed ELSE list_concat(r.claimed, [k.seq, hit.s]) END, k.seq, hit.s, k.p, abs(date_diff('day', k.v, hit.v))
-  FROM steps r JOIN tasks k ON k.user_id = r.user_id AND k.size = r.size AND k.step = r.step + 1
-  JOIN credits q ON q.user_id = r.user_id AND q.size = r.size,
+  FROM steps{n} r JOIN tasks{n} k ON k.user_id = r.user_id AND k.size = r.size AND k.step = r.step + 1
+  JOIN credits{n} q ON q.user_id = r.user_id AND q.size = r.size,
   LATERAL (SELECT CASE WHEN list_contains(r.claimed, k.seq) THEN NULL ELSE list_filter(q.cs, lambda x: abs(date_diff('day', k.v, x.v)) <= 2 AND NOT list_contains(r.claimed, x.s)
     AND x.t = CASE k.p WHEN 0 THEN 'savings' WHEN 1 THEN 'credit_card' WHEN 2 THEN 'fd' ELSE k.t END)[1] END AS hit)
-), pairs AS (
+), pairs{n} AS (
   SELECT user_id, d AS debit_seq, c AS credit_seq, CASE p WHEN 0 THEN 'transfer' WHEN 1 THEN 'credit_card_payment' WHEN 2 THEN 'fd_booking' ELSE 'reversal' END AS matched_by,
-    CAST(CASE WHEN gap = 0 THEN 9500 ELSE 9000 - 200 * gap END AS INTEGER) AS confidence FROM steps WHERE c IS NOT NULL)"""
+    CAST(CASE WHEN gap = 0 THEN 9500 ELSE 9000 - 200 * gap END AS INTEGER) AS confidence FROM steps{n} WHERE c IS NOT NULL)"""
 
 
 REASONS = """reasons AS (
@@ -147,6 +150,7 @@ SELECT l_orderkey, l_linenumber, base + CASE WHEN place <= missing THEN 1 ELSE 0
     "running_balance_check": _with(TXN, STATEMENTS) + "SELECT t.user_id, t.seq, CAST(s.opening_paise + sum(t.amount_paise) OVER (PARTITION BY s.ingestion_event_id ORDER BY t.seq) AS BIGINT) AS running_balance_paise FROM txn t JOIN st s ON s.user_id = t.user_id AND s.account_ref = t.account_ref AND t.value_date BETWEEN s.period_start AND s.period_end",
     **{f"resolver_{n}": _pairs(PAIR, priorities=f"({k})") for k, n in enumerate(["transfer", "cc", "fd", "reversal"])},
     "resolver_cascade": _pairs(PAIR),
+    "resolver_incremental": _with(TXN, cascade(source="early", n="1").replace("legs1 AS", "early AS (SELECT * FROM txn WHERE seq <= (SELECT (min(seq) + max(seq)) // 2 FROM txn)), legs1 AS", 1), cascade(source="late", n="2").replace("legs2 AS", "late AS (SELECT * FROM txn WHERE (user_id, seq) NOT IN (SELECT (user_id, debit_seq) FROM pairs1 UNION ALL SELECT (user_id, credit_seq) FROM pairs1)), legs2 AS", 1), recursive=True) + "SELECT * FROM pairs1 UNION ALL SELECT * FROM pairs2",
     "resolver_decision_hash": _with(TXN, ID, cascade(), recursive=True) + "SELECT p.user_id, debit_seq, credit_seq, sha256(matched_by || ':' || least(a.idempotency_hash, b.idempotency_hash) || ':' || greatest(a.idempotency_hash, b.idempotency_hash)) AS decision_hash FROM pairs p JOIN ident a ON a.seq = debit_seq JOIN ident b ON b.seq = credit_seq",
     "transactions_view": _pairs("SELECT user_id, seq, account_ref, amount_paise, value_date, is_counted FROM view", REASONS, VIEW),
     "transactions_view_totals_literal": _pairs(_totals("false", "false"), REASONS, VIEW),

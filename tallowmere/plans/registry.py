@@ -126,7 +126,7 @@ def resolver_decision_hash(spark, d):
 def resolver_incremental(spark, d):
     """The second half of the rows resolved on top of the first half's decisions."""
     txn = _txn(spark, d)
-    half = txn.agg(F.expr("percentile_approx(seq, 0.5)")).first()[0]
+    half = txn.agg(F.expr("(min(seq) + max(seq)) div 2")).first()[0]
     first = resolve.resolve(txn.where(F.col("seq") <= half))
     return first.unionByName(resolve.resolve_new(txn, first, half))
 

@@ -89,6 +89,26 @@ def test_cascade_against_loops(spark, seed):
     assert sorted((x.debit_seq, x.credit_seq, x.matched_by) for x in out) == brute(rows)
 
 
+def test_cascade_over_batches_nulls_and_repeats(spark):
+    r = random.Random(7)
+    rows = [(s, r.choice(["savings", "credit_card", "fd"]), r.choice([-1, 1]) * r.randint(1, 2), r.randint(0, 60)) for s in range(200)]
+    more = [(1000, None, 1, 3), (1001, "savings", 0, 3), *rows[:20]]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        out = resolve.resolve(candidates(spark, rows + more)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((x.debit_seq, x.credit_seq, x.matched_by) for x in out) == brute(rows)
+    assert resolve.resolve(candidates(spark, rows).limit(0)).count() == 0
+
+
+def test_one_amount_every_day():
+    """An island without an end: twice the rows take about twice the steps."""
+    n = 100_000
+    legs = [(s, "savings", s // 2) for s in range(n)]
+    assert len(list(resolve.paired(legs[::2], legs[1::2], resolve.MATCHERS))) == n // 2
+
+
 @pytest.mark.parametrize("opening,closing,net,n,verdict", [(0, 0, None, 0, "pass"), (0, 1, None, 0, "fail"), (None, 1, 1, 1, "fail"), (None, None, None, 0, "not_applicable"), (100, 150, 50, 2, "pass"), (100, 151, 50, 2, "fail")])
 def test_balance_check(spark, opening, closing, net, n, verdict):
     row = spark.createDataFrame([(opening, closing, net, n)], "o bigint, c bigint, t bigint, n bigint")
