@@ -231,8 +231,9 @@ def _parts_shared(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     # A class emits once a task at most; its first row always does, so that row stands for the others.
     others = keep(full.select("row").join(nodes.select(F.col("node").alias("row")), "row", "left_anti"), "others")
     emitted = full.join(bounded(others, BROADCAST_IDS), "row", "left_anti").select(F.explode("signatures").alias("signature"), F.col("row").alias("node"))
-    emitted = emitted.repartition("signature")  # shuffled once, for the counts and for what joins them; streamed through both
-    several = emitted.groupBy("signature").agg(F.count("*").alias("size")).where("size > 1")
+    # Shuffled once, for the counts and for what joins them: both read the same columns, or Spark would shuffle each apart.
+    emitted = emitted.repartition("signature")
+    several = emitted.groupBy("signature").agg(F.count("node").alias("size")).where("size > 1")
     members = keep(emitted.join(several.hint("shuffle_hash"), "signature"), "members")
     shared = keep(members.drop("size").join(members.groupBy("node").agg(F.sum("size").alias("weight")), "node"), "shared")
     discard(others, members)
@@ -322,8 +323,9 @@ def _rarest(mixed: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int,
 
     asked = mixed.select("node", "component").distinct()
     held = keep(texts.select("node", "packed").join(asked.select("node"), "node", "left_semi").mapInArrow(sets, "node long, es array<long>"), "sets")
-    each = held.select("node", F.explode("es").alias("e")).repartition("e")  # shuffled once, as the parts are
-    common = each.groupBy("e").agg(F.count("*").alias("c")).where("c > 1")
+    # Shuffled once, as the parts are: the nodes' range keeps the column, and the filter on it, alike on both sides.
+    each = held.where("node IS NOT NULL").select("node", F.explode("es").alias("e")).repartition("e")
+    common = each.groupBy("e").agg(F.count("*").alias("c"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("e", "c")
     order = each.join(common.hint("shuffle_hash"), "e").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "e"))).alias("es"))  # of one text
     order = order.join(asked, "node").join(nodes.select("node", F.col("n_shingles").alias("n"), *SKETCH), "node")
     step = math.log(1.03)
