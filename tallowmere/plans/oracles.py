@@ -259,3 +259,26 @@ ORACLE |= {
     "nature_tag_corrected": _with(LONG, CORRECTED) + f"SELECT l.seq, CASE WHEN amount_paise < 0 THEN coalesce(mine, {NATURES_OF}) END AS nature, CASE WHEN amount_paise < 0 THEN coalesce('learned:' || CAST(txn AS VARCHAR), CASE WHEN {NATURES_OF} IS NOT NULL THEN 'rule:' || category END) END AS nature_rule, CASE WHEN amount_paise >= 0 THEN 'nature_on_non_expense' END AS error FROM lng l LEFT JOIN nat ON nat.txn = l.seq AND nat.user_id = l.user_id",
     "effective_nature": _with(LONG, CORRECTED) + f"SELECT user_id, txn, nature FROM (SELECT l.user_id, l.seq AS txn, coalesce(mine, CASE WHEN amount_paise < 0 THEN {NATURES_OF} END) AS nature FROM lng l LEFT JOIN nat ON nat.txn = l.seq AND nat.user_id = l.user_id) WHERE nature IS NOT NULL",
 }
+PRINTED = f"""prt AS (
+  SELECT ingestion_event_id AS statement_id, user_id % 5 AS l, seq % 11 AS fault, CASE WHEN user_id % 5 = 4 THEN 'SLICE_SAV_' || right(lpad(CAST(user_id AS VARCHAR), 12, '0'), 4) ELSE account_ref || '_' || CAST(user_id AS VARCHAR) END AS account,
+    ['hdfc_cc', 'sbi_cc', 'hdfc_savings', 'sbi_savings', 'slice_savings'][CAST(user_id % 5 + 1 AS INTEGER)] AS bank, period_start, period_end,
+    opening_paise + CASE WHEN user_id % 5 >= 2 THEN 10000000000 ELSE 0 END AS opening, closing_paise + CASE WHEN user_id % 5 >= 2 THEN 10000000000 ELSE 0 END AS printed, row_count, net FROM st
+), judged AS (
+  SELECT *, CASE WHEN l IN (2, 3) THEN opening + net ELSE printed END AS closing, CASE WHEN fault = 5 THEN 'no layout fits' WHEN fault = 0 THEN 'no period' WHEN fault = 1 AND l <> 2 THEN 'no opening balance'
+    WHEN fault = 2 AND l IN (0, 1, 4) THEN 'no closing balance' WHEN fault = 3 AND l = 3 THEN 'the last row has no balance' WHEN fault = 4 AND l = 3 THEN 'an amount doesn''t read' WHEN fault = 6 AND l = 4 THEN 'no account' END AS reason FROM prt
+), prow AS (
+  SELECT j.*, x.seq, x.value_date, x.amount_paise, trim(regexp_replace(x.narration, ' +', ' ', 'g')) || CASE WHEN l = 4 THEN CASE WHEN x.amount_paise > 0 THEN ' Credit' ELSE ' Debit' END ELSE '' END AS narr,
+    row_number() OVER (PARTITION BY statement_id ORDER BY x.seq) - 1 AS place, CAST(opening + sum(x.amount_paise) OVER (PARTITION BY statement_id ORDER BY x.seq) AS BIGINT) AS balance
+  FROM judged j JOIN (SELECT *, {WEEK} AS sid FROM txn) x ON x.sid = j.statement_id WHERE reason IS NULL
+), pid AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY statement_id, value_date, amount_paise, upper(narr) ORDER BY place) - 1 AS INTEGER) AS occ FROM prow)"""
+ORACLE |= {
+    f"statement_rows_{name}": _with(TXN, STATEMENTS, PRINTED) + f"""SELECT statement_id, CAST(place AS INTEGER) AS pos, account AS account_ref, value_date, narr AS narration, amount_paise, CASE WHEN l >= 2 THEN balance END AS running_balance_paise, occ AS occurrence_index,
+  sha256(account || '|' || strftime(value_date, '%Y-%m-%d') || '|' || CAST(amount_paise AS VARCHAR) || '|' || upper(narr) || '|' || CAST(occ AS VARCHAR)) AS idempotency_hash FROM pid WHERE l = {k}"""
+    for k, name in enumerate(["hdfc_cc", "sbi_cc", "hdfc_savings", "sbi_savings", "slice_savings"])
+} | {
+    "statement_headers": _with(TXN, STATEMENTS, PRINTED) + """SELECT statement_id, CASE WHEN fault <> 5 THEN bank END AS layout, CASE WHEN fault <> 5 THEN CASE WHEN l < 2 THEN 'credit_card' ELSE 'savings' END END AS account_type,
+  CASE WHEN reason IS NULL THEN account END AS account_ref, CASE WHEN reason IS NULL THEN period_start END AS period_start, CASE WHEN reason IS NULL THEN period_end END AS period_end,
+  CASE WHEN reason IS NULL THEN opening END AS opening_paise, CASE WHEN reason IS NULL THEN closing END AS closing_paise, CASE WHEN reason IS NULL THEN 9000 END AS confidence,
+  CASE WHEN reason IS NULL THEN row_count END AS row_count, CASE WHEN reason IS NULL THEN net END AS net_paise, CASE WHEN reason IS NULL THEN CASE WHEN opening + net = closing THEN 'pass' ELSE 'fail' END END AS balance_check, reason FROM judged""",
+}

@@ -10,7 +10,7 @@ from tallowmere.functions import columns as c
 from tallowmere.operators import balances, budgets, classify, entities, identity, ledger, resolve
 from tallowmere.plans.oracles import ORACLE
 from tallowmere.schema import CATEGORIES, EXPENSE
-from tallowmere.sources import log, staging, views
+from tallowmere.sources import log, rendered, staging, statements, views
 
 QUERIES: dict = {}
 
@@ -533,3 +533,22 @@ def effective_nature(spark, d):
     rows, corrections = _natures(spark, d)
     tags = classify.tag_nature(rows, corrections.limit(0)).where("nature IS NOT NULL")
     return classify.effective_nature(tags, corrections)
+
+
+def _extracted(spark, d):
+    """Every week of the ledger as a printed statement: texts, cells, words."""
+    heads, rows = rendered.printed(_txn(spark, d))
+    return rendered.texts(heads, rows), rendered.cells(rows), rendered.words(rows)
+
+
+def _layout(one):
+    return lambda spark, d: statements.read(*_extracted(spark, d), [one])[1].select("statement_id", "pos", "account_ref", "value_date", "narration", "amount_paise", "running_balance_paise", "occurrence_index", "idempotency_hash")
+
+
+QUERIES |= {f"statement_rows_{one.name}": _layout(one) for one in statements.LAYOUTS}
+
+
+@query
+def statement_headers(spark, d):
+    """Account, period, balances and check of every printed statement, or the reason why it doesn't read."""
+    return statements.read(*_extracted(spark, d))[0]
