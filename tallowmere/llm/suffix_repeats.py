@@ -35,8 +35,8 @@ from tallowmere.llm.shingles import mix
 from tallowmere.llm.suffix_sort import END, common_prefixes, suffix_array, words
 
 LENGTH, GRAM = 200, 24
-#: Different regions of one anchor that one task sorts together, and the windows of a run beyond that.
-MOST, FINER = 256, 16
+#: Different regions of one anchor that one task sorts together (some 3 MB), and the windows of a run beyond that.
+MOST, FINER = 8192, 16
 #: Bytes of text that are hashed at a time, and bytes of regions that are sorted at a time.
 SLICE, SORTED = 1 << 19, 1 << 20
 #: Anchors' strings up to this many are broadcast; beyond, anchors meet them by a shuffle.
