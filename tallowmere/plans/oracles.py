@@ -282,3 +282,37 @@ ORACLE |= {
   CASE WHEN reason IS NULL THEN opening END AS opening_paise, CASE WHEN reason IS NULL THEN closing END AS closing_paise, CASE WHEN reason IS NULL THEN 9000 END AS confidence,
   CASE WHEN reason IS NULL THEN row_count END AS row_count, CASE WHEN reason IS NULL THEN net END AS net_paise, CASE WHEN reason IS NULL THEN CASE WHEN opening + net = closing THEN 'pass' ELSE 'fail' END END AS balance_check, reason FROM judged""",
 }
+COMMITS = """mv AS (
+  SELECT i.*, account_ref || '/' || CAST(user_id AS VARCHAR) || '/' || strftime(date_trunc('week', value_date), '%Y-%m-%d') || '/week' AS w,
+    account_ref || '/' || CAST(user_id AS VARCHAR) || '/' || strftime(date_trunc('month', value_date), '%Y-%m-%d') || '/month' AS m FROM ident i
+), firstw AS (
+  SELECT w, user_id, count(*) AS n FROM mv GROUP BY 1, 2 HAVING max(seq) % 9 = 0
+), known AS (
+  SELECT seq FROM mv JOIN firstw USING (w) WHERE mv.user_id % 10 <> 7
+), months AS (
+  SELECT m, user_id, count(*) AS n, count(*) FILTER (seq IN (SELECT seq FROM known)) AS old FROM mv GROUP BY 1, 2)"""
+RENUMBERED = """anew AS (
+  SELECT mv.user_id, account_type, amount_paise, value_date, seq AS source, row_number() OVER (ORDER BY w, seq) AS seq, true AS early FROM mv JOIN firstw USING (w) WHERE mv.user_id % 10 <> 7
+  UNION ALL SELECT user_id, account_type, amount_paise, value_date, seq, 1000000000000 + row_number() OVER (ORDER BY m, seq), false FROM mv WHERE user_id % 10 <> 7 AND seq NOT IN (SELECT seq FROM known)
+), early AS (SELECT * FROM anew WHERE early)"""
+_WEEKS = "SELECT w AS ingestion_event_id, user_id, CASE WHEN user_id % 10 = 7 THEN 'rejected' ELSE 'ingested' END AS status, CASE WHEN user_id % 10 = 7 THEN 0 ELSE n END AS records_added, CAST(0 AS BIGINT) AS records_skipped, CASE WHEN user_id % 10 = 7 THEN 0 ELSE n END AS in_log FROM firstw UNION ALL "
+ORACLE |= {
+    "commit_once_strict": _with(TXN, ID, COMMITS) + _WEEKS + "SELECT m, user_id, CASE WHEN user_id % 10 = 7 THEN 'rejected' WHEN old > 0 THEN 'duplicate' ELSE 'ingested' END, CASE WHEN user_id % 10 = 7 OR old > 0 THEN 0 ELSE n END, old, CASE WHEN user_id % 10 = 7 OR old > 0 THEN 0 ELSE n END FROM months",
+    "commit_once_skipping": _with(TXN, ID, COMMITS) + _WEEKS + "SELECT m, user_id, CASE WHEN user_id % 10 = 7 THEN 'rejected' ELSE 'ingested' END, CASE WHEN user_id % 10 = 7 THEN 0 ELSE n - old END, old, CASE WHEN user_id % 10 = 7 THEN 0 ELSE n - old END FROM months",
+}
+_LATE = "late AS (SELECT * FROM anew WHERE (user_id, seq) NOT IN (SELECT (user_id, debit_seq) FROM pairs1 UNION ALL SELECT (user_id, credit_seq) FROM pairs1)), legs2 AS"
+_PURSE = """purse AS (
+  SELECT user_id, list_reduce(list(struct_pack(paise := amount_paise, spilled := CAST(0 AS BIGINT), short := CAST(0 AS BIGINT), events := CAST(1 AS BIGINT)) ORDER BY seq),
+    lambda a, x: struct_pack(paise := CAST(least(50000, greatest(0, a.paise + x.paise)) AS BIGINT), spilled := CAST(a.spilled + greatest(0, a.paise + x.paise - 50000) AS BIGINT), short := CAST(a.short + greatest(0, -(a.paise + x.paise)) AS BIGINT), events := CAST(a.events + 1 AS BIGINT)),
+    struct_pack(paise := CAST(0 AS BIGINT), spilled := CAST(0 AS BIGINT), short := CAST(0 AS BIGINT), events := CAST(0 AS BIGINT))) AS s, max(seq) AS last_seq
+  FROM txn WHERE seq % 6 <> 5 GROUP BY user_id)"""
+_FOLDED = _with(TXN, _PURSE) + "SELECT user_id, s.paise AS paise, s.spilled AS spilled, s.short AS short, s.events AS events, last_seq FROM purse"
+_HALF = "(SELECT (min(seq) + max(seq)) // 2 FROM txn)"
+ORACLE |= {
+    "commit_resolves": _with(TXN, ID, COMMITS, RENUMBERED, cascade(source="early", n="1"), cascade(source="late", n="2").replace("legs2 AS", _LATE, 1), recursive=True)
+    + "SELECT user_id, matched_by, count(*) AS pairs, count(*) AS debits, count(*) AS credits, CAST(sum(confidence) AS BIGINT) AS confidence FROM (SELECT * FROM pairs1 UNION ALL SELECT * FROM pairs2) GROUP BY 1, 2",
+    "ordered_fold": _FOLDED,
+    "snapshot_fallback": _FOLDED,
+    "key_history": _with(TXN) + f"SELECT user_id, seq, user_id * 2 + CASE WHEN seq > {_HALF} THEN 1 ELSE 0 END AS key_id, seq > {_HALF} OR user_id % 3 <> 0 AS readable, CASE WHEN seq > {_HALF} OR user_id % 3 <> 0 THEN amount_paise END AS amount_paise FROM txn",
+    "late_decryption": _with(TXN) + "SELECT user_id, account_ref AS aggregate_id, count(*) AS n, count(*) FILTER (user_id % 31 <> 0) AS readable, CAST(sum(amount_paise) FILTER (user_id % 31 <> 0) AS BIGINT) AS net_paise FROM txn WHERE account_ref LIKE 'SAV%' AND value_date < DATE '2024-01-16' GROUP BY 1, 2",
+}

@@ -10,7 +10,7 @@ from tallowmere.functions import columns as c
 from tallowmere.operators import balances, budgets, classify, entities, identity, ledger, resolve
 from tallowmere.plans.oracles import ORACLE
 from tallowmere.schema import CATEGORIES, EXPENSE
-from tallowmere.sources import log, rendered, staging, statements, views
+from tallowmere.sources import commits, folders, folds, log, rendered, snapshots, staging, statements, views
 
 QUERIES: dict = {}
 
@@ -552,3 +552,102 @@ QUERIES |= {f"statement_rows_{one.name}": _layout(one) for one in statements.LAY
 def statement_headers(spark, d):
     """Account, period, balances and check of every printed statement, or the reason why it doesn't read."""
     return statements.read(*_extracted(spark, d))[0]
+
+
+COMMITTED = "ingestion_event_id string, user_id bigint, source_seq bigint, account_ref string, account_type string, value_date date, amount_paise bigint, idempotency_hash string, seq bigint, bucket int"
+
+
+def _two_commits(spark, d, strict):
+    """A log into which a third of the weekly statements went first and then every account's month, which overlaps them."""
+    txn = identity.with_identity(_txn(spark, d)).withColumnRenamed("seq", "source_seq")
+    path = folders.shared(spark, "log")
+    for number, unit in enumerate(["week", "month"]):
+        sid = F.concat_ws("/", "account_ref", F.col("user_id").cast("string"), F.date_format(F.trunc("value_date", unit), "yyyy-MM-dd"), F.lit(unit))
+        rows = txn.select(sid.alias("ingestion_event_id"), "user_id", "source_seq", "account_ref", "account_type", "value_date", "amount_paise", "idempotency_hash")
+        heads = rows.groupBy("ingestion_event_id", "user_id").agg(F.max("source_seq").alias("last"))
+        heads = (heads.where("last % 9 = 0") if number == 0 else heads).select("ingestion_event_id", "user_id", F.when(F.col("user_id") % 10 == 7, "fail").otherwise("pass").alias("balance_check"), F.sha2("ingestion_event_id", 256).alias("content_hash"))
+        rows = rows.join(heads.select("ingestion_event_id"), "ingestion_event_id", "left_semi")
+        for _ in range(2):  # the second call finds the batch there
+            commits.commit(heads, rows, path, unit, strict)
+    return path
+
+
+def _commit_report(spark, path):
+    heads = commits.committed(spark, path, "statements", "ingestion_event_id string, user_id bigint, status string, records_added bigint, records_skipped bigint")
+    held = commits.committed(spark, path, "events", COMMITTED).groupBy("ingestion_event_id").agg(F.count("*").alias("in_log"))
+    return heads.join(held, "ingestion_event_id", "left").withColumn("in_log", F.coalesce("in_log", F.lit(0)))
+
+
+@query
+def commit_once_strict(spark, d):
+    """Statements of two overlapping batches: one with a row that is in the log is refused whole."""
+    return _commit_report(spark, _two_commits(spark, d, True))
+
+
+@query
+def commit_once_skipping(spark, d):
+    """The same, but known rows are skipped."""
+    return _commit_report(spark, _two_commits(spark, d, False))
+
+
+@query
+def commit_resolves(spark, d):
+    """Decisions that the commits brought, by the rows' first numbers."""
+    path = _two_commits(spark, d, False)
+    source = commits.committed(spark, path, "events", COMMITTED).select("user_id", "seq", "source_seq")
+    pairs = commits.committed(spark, path, "decisions", commits.PAIR)
+    leg = lambda side: source.select("user_id", F.col("seq").alias(f"{side}_seq"), F.col("source_seq").alias(side))
+    return pairs.join(leg("debit"), ["user_id", "debit_seq"]).join(leg("credit"), ["user_id", "credit_seq"]).groupBy("user_id", "matched_by").agg(F.count("*").alias("pairs"), F.countDistinct("debit").alias("debits"), F.countDistinct("credit").alias("credits"), F.sum("confidence").alias("confidence"))
+
+
+def _purse_columns(states):
+    part = lambda name: F.get_json_object("state", f"$.{name}").cast("bigint").alias(name)
+    return states.select("user_id", part("paise"), part("spilled"), part("short"), part("events"), "last_seq")
+
+
+def _mixed_events(spark, d):
+    """Events of which every sixth has a type that no projection knows, and half are of the first version."""
+    events = log.as_events(_txn(spark, d), old=F.col("seq") % 2 == 0)
+    return events.withColumn("event_type", F.when(F.col("seq") % 6 == 5, "Unheard").otherwise(F.col("event_type")))
+
+
+@query
+def ordered_fold(spark, d):
+    """A purse between two bounds, stepped through each user's events in order."""
+    return _purse_columns(folds.fold(_mixed_events(spark, d), "purse"))
+
+
+@query
+def snapshot_fallback(spark, d):
+    """The same from snapshots: the newest is broken, so an older one and the events after it make the state."""
+    events, path = _mixed_events(spark, d), folders.shared(spark, "snapshots")
+    first, last = events.agg(F.min("seq"), F.max("seq")).first()
+    for part in (1, 2):
+        upto = first + (last - first) * part // 3
+        folder = snapshots.save(folds.fold(events.where(F.col("seq") <= upto), "purse"), path, "purse", upto)
+    spark.createDataFrame([(0, "{}", 0)], "user_id long, state string, last_seq long").write.mode("append").parquet(f"{path}/purse/rows/{folder}")
+    return _purse_columns(snapshots.current(events, path, "purse", "purse"))
+
+
+@query
+def key_history(spark, d):
+    """Payloads of two keys a user, one made later; then every third user's first key is shredded."""
+    events = log.as_events(_txn(spark, d))
+    half = events.agg(F.expr("(min(seq) + max(seq)) div 2")).first()[0]
+    users = events.select("user_id").distinct()
+    made = lambda n: users.select((F.col("user_id") * 2 + n).alias("key_id"), "user_id", F.unhex(F.sha2(F.concat_ws(":", "user_id", F.lit(n)), 256)).alias("key"), F.lit(n).alias("created_at"), F.lit(None).cast("int").alias("deactivated_at"))
+    old, both = made(0), made(0).unionByName(made(1))
+    sealed = log.seal_by_key(events.where(F.col("seq") <= half), old).unionByName(log.seal_by_key(events.where(F.col("seq") > half), both))
+    opened = log.open_by_key(sealed, log.shredded(both, (F.col("user_id") % 3 == 0) & (F.col("created_at") == 0), F.lit(2)))
+    return opened.select("user_id", "seq", "key_id", F.col("payload").isNotNull().alias("readable"), log.field("amount_paise", "bigint"))
+
+
+@query
+def late_decryption(spark, d):
+    """Net of the savings rows of January's first half: rows are picked by what isn't sealed, the rest is never opened."""
+    txn = _txn(spark, d)
+    keys = txn.select("user_id").distinct().select(F.col("user_id").alias("key_id"), "user_id", F.when(F.col("user_id") % 31 != 0, F.unhex(F.sha2(F.col("user_id").cast("string"), 256))).alias("key"))
+    whole = keys.withColumns({"key": F.unhex(F.sha2(F.col("user_id").cast("string"), 256)), "created_at": F.lit(0), "deactivated_at": F.lit(None).cast("int")})
+    routed = log.as_events(txn).join(txn.select("user_id", "seq", "value_date"), ["user_id", "seq"])
+    opened = log.open_by_key(log.seal_by_key(routed, whole), keys).where("aggregate_id LIKE 'SAV%' AND value_date < DATE '2024-01-16'")
+    return opened.groupBy("user_id", "aggregate_id").agg(F.count("*").alias("n"), F.count("payload").alias("readable"), F.sum(log.field("amount_paise", "bigint")).alias("net_paise"))

@@ -74,6 +74,32 @@ def unseal(events: DataFrame, keys: DataFrame) -> DataFrame:
     return events.join(keys, "user_id", "left").withColumn("payload", F.try_aes_decrypt("payload", "key", F.lit("GCM")).cast("string")).drop("key")
 
 
+def seal_by_key(events: DataFrame, keys: DataFrame) -> DataFrame:
+    """Payloads encrypted with each user's active key, and its key_id. A user without one is an error.
+
+    `keys`: key_id, user_id, key (null once shredded), created_at, deactivated_at. The newest key that isn't deactivated
+    is active; one row a user is joined.
+    """
+    active = keys.where("deactivated_at IS NULL AND key IS NOT NULL").groupBy("user_id").agg(F.max_by(F.struct("key_id", "key"), F.struct("created_at", "key_id")).alias("k"))
+    out = events.join(active, "user_id", "left")
+    lost = F.raise_error(F.concat(F.lit("no active key of user "), F.col("user_id").cast("string"))).cast("string")
+    return out.withColumns({"payload": F.aes_encrypt("payload", F.when(F.col("k").isNotNull(), F.col("k.key")).otherwise(lost), F.lit("GCM")), "key_id": F.col("k.key_id")}).drop("k")
+
+
+def open_by_key(events: DataFrame, keys: DataFrame) -> DataFrame:
+    """Payloads decrypted with the key that each event names, whichever is active now; null where that one is shredded or unknown.
+
+    Filters on other columns, put before or after this, come before the decryption: it works on rows that are left.
+    """
+    own = keys.groupBy("key_id").agg(F.first("key", ignorenulls=True).alias("_key"))
+    return events.join(own, "key_id", "left").withColumn("payload", F.try_aes_decrypt("payload", "_key", F.lit("GCM")).cast("string")).drop("_key")
+
+
+def shredded(keys: DataFrame, which: Column, at: Column) -> DataFrame:
+    """Keys of which those that `which` picks are deactivated and their material gone, for good."""
+    return keys.withColumns({"key": F.when(~which, F.col("key")), "deactivated_at": F.when(which, F.coalesce("deactivated_at", at)).otherwise(F.col("deactivated_at"))})
+
+
 def numbered(rows: DataFrame, last_seq: int, order: list[str]) -> DataFrame:
     """New rows with `seq` after `last_seq`, rising in `order`, with gaps; a row without a hash ends the job.
 
