@@ -118,3 +118,33 @@ def stub_model(first: str, sure: int = 8000) -> Callable[[list[str]], list[tuple
     """A model that always gives the same answer, for tests."""
     return lambda texts: [(first, sure)] * len(texts)
 
+
+
+ANSWER = "kind string, text string, name string, confidence int, model string, prompt_version string"
+
+
+def ask_once(texts: DataFrame, stored: DataFrame, model: Callable[[list[str]], list[tuple[str, int]]], kind: str, version: str, batch: int = 64) -> DataFrame:
+    """New answers (kind, text, name, confidence, model, prompt_version) for the different texts that `stored` doesn't answer.
+
+    Texts are asked for by their content, whoever has them, some at a time. The caller stores what comes back before
+    asking again; answers of another version are no answers.
+    """
+    known = stored.where((F.col("kind") == kind) & (F.col("prompt_version") == version)).select("text")
+    open_ = texts.where("text IS NOT NULL").select("text").distinct().join(known, "text", "left_anti")
+    name = getattr(model, "__name__", "model")
+
+    def ask(batches):
+        for pdf in batches:
+            for k in range(0, len(pdf), batch):
+                asked = pdf["text"].iloc[k : k + batch].tolist()
+                yield pd.DataFrame([(kind, t, n, sure, name, version) for t, (n, sure) in zip(asked, model(asked), strict=True)], columns=["kind", "text", "name", "confidence", "model", "prompt_version"])
+
+    return open_.mapInPandas(ask, ANSWER)
+
+
+def with_answers(rows: DataFrame, stored: DataFrame, text: str, out: str, kind: str, version: str, least: int) -> DataFrame:
+    """`out`, `out`_confidence and `out`_review: stored answers where `out` is null, the unsure ones for review instead."""
+    mine = stored.where((F.col("kind") == kind) & (F.col("prompt_version") == version)).groupBy(F.col("text").alias("_text")).agg(F.max_by(F.struct("name", "confidence"), "confidence").alias("_a"))
+    met = rows.join(mine, F.col(text) == F.col("_text"), "left")
+    open_, sure = F.col(out).isNull(), F.col("_a.confidence") >= least
+    return met.withColumns({out: F.when(open_ & sure, F.col("_a.name")).otherwise(F.col(out)), f"{out}_confidence": F.when(open_, F.col("_a.confidence")).otherwise(RULE_CONFIDENCE), f"{out}_review": open_ & ~F.coalesce(sure, F.lit(False))}).drop("_a", "_text")

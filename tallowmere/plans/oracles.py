@@ -316,3 +316,70 @@ ORACLE |= {
     "key_history": _with(TXN) + f"SELECT user_id, seq, user_id * 2 + CASE WHEN seq > {_HALF} THEN 1 ELSE 0 END AS key_id, seq > {_HALF} OR user_id % 3 <> 0 AS readable, CASE WHEN seq > {_HALF} OR user_id % 3 <> 0 THEN amount_paise END AS amount_paise FROM txn",
     "late_decryption": _with(TXN) + "SELECT user_id, account_ref AS aggregate_id, count(*) AS n, count(*) FILTER (user_id % 31 <> 0) AS readable, CAST(sum(amount_paise) FILTER (user_id % 31 <> 0) AS BIGINT) AS net_paise FROM txn WHERE account_ref LIKE 'SAV%' AND value_date < DATE '2024-01-16' GROUP BY 1, 2",
 }
+
+
+def _series(rows: str, spine: str, top: int = 10) -> str:
+    return f"""base AS (
+  SELECT user_id, category, amount_paise, 'Shop ' || CAST(seq % 23 AS VARCHAR) AS merchant, value_date FROM lng WHERE {rows}
+), graind AS (
+  SELECT *, 'month' AS grain, CAST(date_trunc('month', value_date) AS DATE) AS period FROM base
+  UNION ALL SELECT *, 'quarter', CAST(date_trunc('quarter', value_date) AS DATE) FROM base
+  UNION ALL SELECT *, 'fiscal_year', make_date(CAST(year(value_date) - CASE WHEN month(value_date) < 4 THEN 1 ELSE 0 END AS INTEGER), 4, 1) FROM base
+), bounds AS ({spine}
+), spine AS (
+  SELECT user_id, grain, CAST(p AS DATE) AS period FROM bounds, LATERAL (SELECT unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), CASE grain WHEN 'month' THEN INTERVAL 1 MONTH WHEN 'quarter' THEN INTERVAL 3 MONTH ELSE INTERVAL 1 YEAR END)) AS p)
+), whole AS (
+  SELECT user_id, grain, period, coalesce(-sum(amount_paise) FILTER ({EXPENSES} OR (category IS NULL AND amount_paise < 0)), 0) AS expense, coalesce(sum(amount_paise) FILTER (category = 'income' AND amount_paise > 0), 0) AS income
+  FROM spine LEFT JOIN graind USING (user_id, grain, period) GROUP BY 1, 2, 3
+), cats AS (
+  SELECT s.user_id, s.grain, s.period, k.category, coalesce(-sum(amount_paise), 0) AS spent FROM spine s JOIN (SELECT DISTINCT user_id, grain, category FROM graind WHERE {EXPENSES}) k USING (user_id, grain)
+  LEFT JOIN graind g ON g.user_id = s.user_id AND g.grain = s.grain AND g.period = s.period AND g.category = k.category GROUP BY 1, 2, 3, 4
+), nats AS (
+  SELECT s.user_id, s.grain, s.period, k.n, coalesce(-sum(amount_paise) FILTER ({EXPENSES}), 0) AS spent FROM spine s JOIN (SELECT DISTINCT user_id, grain, {NATURES_OF} AS n FROM graind) k USING (user_id, grain)
+  LEFT JOIN (SELECT *, {NATURES_OF} AS n FROM graind) g ON g.user_id = s.user_id AND g.grain = s.grain AND g.period = s.period AND g.n = k.n WHERE k.n IS NOT NULL GROUP BY 1, 2, 3, 4
+), steady AS (
+  SELECT user_id, grain, period, 'income_expense' AS series, 'income' AS key, income AS value FROM whole
+  UNION ALL SELECT user_id, grain, period, 'income_expense', 'expense', expense FROM whole
+  UNION ALL SELECT user_id, grain, period, 'net_cashflow', 'net', income - expense FROM whole
+  UNION ALL SELECT user_id, grain, period, 'savings_rate', 'bps', CASE WHEN income > 0 THEN CAST(floor((income - expense)::DECIMAL(30, 4) * 10000 / income) AS BIGINT) END FROM whole
+  UNION ALL SELECT user_id, grain, period, 'category_trend', category, spent FROM cats
+  UNION ALL SELECT user_id, grain, period, 'category_split', category, CASE WHEN expense > 0 THEN CAST(floor(spent::DECIMAL(30, 4) * 10000 / expense) AS BIGINT) END FROM cats JOIN whole USING (user_id, grain, period)
+  UNION ALL SELECT user_id, grain, period, 'nature_split', n, spent FROM nats
+), lagged AS (
+  SELECT *, lag(value) OVER (PARTITION BY user_id, grain, series, key ORDER BY period) AS previous FROM steady
+), shops AS (
+  SELECT user_id, grain, period, merchant, -sum(amount_paise) AS value, row_number() OVER (PARTITION BY user_id, grain, period ORDER BY -sum(amount_paise) DESC, merchant) AS place FROM graind GROUP BY 1, 2, 3, 4)"""
+
+
+_SERIES = """SELECT user_id, grain, period, series, key, CAST(value AS BIGINT) AS value, CAST(previous AS BIGINT) AS previous, CAST(value - previous AS BIGINT) AS change, CAST(NULL AS INTEGER) AS place FROM lagged
+  UNION ALL SELECT user_id, grain, period, 'top_merchants', merchant, CAST(value AS BIGINT), NULL, NULL, CAST(place AS INTEGER) FROM shops WHERE place <= %d"""
+_OWN = "SELECT user_id, grain, min(period) AS a, max(period) AS b FROM graind GROUP BY 1, 2"
+_CHOSEN = "SELECT DISTINCT user_id, grain, CASE grain WHEN 'month' THEN DATE '1995-02-01' WHEN 'quarter' THEN DATE '1995-01-01' ELSE DATE '1994-04-01' END AS a, CASE grain WHEN 'month' THEN DATE '1996-05-01' WHEN 'quarter' THEN DATE '1996-04-01' ELSE DATE '1996-04-01' END AS b FROM graind"
+ORACLE |= {
+    "dashboard_series": _with(LONG, _series("value_date IS NOT NULL", _OWN)) + _SERIES % 10,
+    "dashboard_series_selected": _with(LONG, _series("value_date BETWEEN DATE '1995-02-10' AND DATE '1996-05-20'", _CHOSEN)) + _SERIES % 3,
+    "pairings_with_periods": _with(TXN, ID, STATEMENTS, cascade(), recursive=True) + f"""SELECT p.user_id, matched_by, confidence, a.value_date, debit_seq, credit_seq,
+  CASE matched_by WHEN 'transfer' THEN 'debit' WHEN 'reversal' THEN 'original' ELSE 'savings_debit' END AS first_role, a.idempotency_hash AS first_idempotency_hash, CASE WHEN s.seq IS NULL THEN '' ELSE a.account_ref END AS first_account_ref, s.period_start AS first_period_start, s.period_end AS first_period_end,
+  CASE matched_by WHEN 'transfer' THEN 'credit' WHEN 'credit_card_payment' THEN 'cc_credit' WHEN 'fd_booking' THEN 'fd_credit' ELSE 'reversal' END AS second_role, b.idempotency_hash AS second_idempotency_hash, CASE WHEN t.seq IS NULL THEN '' ELSE b.account_ref END AS second_account_ref, t.period_start AS second_period_start, t.period_end AS second_period_end
+  FROM pairs p JOIN (SELECT *, {WEEK} AS sid FROM ident) a ON a.seq = debit_seq JOIN (SELECT *, {WEEK} AS sid FROM ident) b ON b.seq = credit_seq
+  LEFT JOIN (SELECT * FROM per WHERE seq % 7 <> 0) s ON s.ingestion_event_id = a.sid LEFT JOIN (SELECT * FROM per WHERE seq % 7 <> 0) t ON t.ingestion_event_id = b.sid""",
+    "sync_report": _with(TXN, STATEMENTS, PRINTED) + """SELECT st.user_id, statement_id AS ingestion_event_id, account AS account_ref, bank AS layout, j.period_start, j.period_end, CASE WHEN opening + j.net = closing THEN 'ingested' ELSE 'rejected' END AS status, CASE WHEN opening + j.net = closing THEN j.row_count ELSE 0 END AS records_added,
+  CAST(0 AS BIGINT) AS records_skipped, CASE WHEN opening + j.net = closing THEN 'pass' ELSE 'fail' END AS balance_check, 9000 AS confidence, st.seq * 13 % 80 > 35 AS is_stalled, 1 AS n FROM judged j JOIN st ON st.ingestion_event_id = j.statement_id WHERE reason IS NULL""",
+    "overlap_pairs": _with(TXN, STATEMENTS) + """, months AS (
+  SELECT account_ref || '/' || CAST(user_id AS VARCHAR) || '/' || strftime(date_trunc('month', value_date), '%Y-%m-%d') || '/month' AS ingestion_event_id, user_id, account_ref, CAST(date_trunc('month', value_date) AS DATE) AS period_start, last_day(min(value_date)) AS period_end FROM txn GROUP BY user_id, account_ref, date_trunc('month', value_date)
+), every AS (SELECT ingestion_event_id, user_id, account_ref, period_start, period_end FROM per WHERE status <> 'rejected' UNION ALL SELECT * FROM months)
+SELECT a.ingestion_event_id, b.ingestion_event_id AS other FROM every a JOIN every b ON a.user_id = b.user_id AND a.account_ref = b.account_ref AND a.ingestion_event_id <> b.ingestion_event_id AND a.period_start <= b.period_end AND b.period_start <= a.period_end""",
+    "model_decisions": _with(TXN, MERCHANTS) + """, asked AS (SELECT *, CASE WHEN merchant IS NULL THEN upper(narration) || ' ' || CAST(seq % 211 AS VARCHAR) END AS text FROM named)
+SELECT user_id, seq, CASE WHEN text IS NULL THEN merchant WHEN 6000 + 400 * (length(text) % 10) >= 7000 THEN upper(left(text, 1)) || lower(substr(split_part(text, ' ', 1), 2)) END AS merchant, CAST(CASE WHEN text IS NULL THEN 9500 ELSE 6000 + 400 * (length(text) % 10) END AS INTEGER) AS merchant_confidence,
+  text IS NOT NULL AND 6000 + 400 * (length(text) % 10) < 7000 AS merchant_review, CASE WHEN text IS NOT NULL THEN CAST(1 AS BIGINT) END AS asked FROM asked""",
+    "statement_dates": "SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 9 THEN CASE WHEN o_orderkey % 4 = 3 THEN CAST(CAST(o_orderdate AS DATE) + INTERVAL 360 MONTH AS DATE) ELSE CAST(o_orderdate AS DATE) END END AS value_date FROM orders",
+    "rupee_text": _with(LONG) + """, big AS (SELECT seq, amount_paise * (1 + seq % 997) AS p FROM lng), parts AS (SELECT seq, p, CAST(abs(p) // 100 AS VARCHAR) AS w, lpad(CAST(abs(p) % 100 AS VARCHAR), 2, '0') AS f FROM big)
+SELECT seq, CASE WHEN p < 0 THEN '−' ELSE '' END || '₹' || CASE WHEN length(w) <= 3 THEN w ELSE regexp_replace(reverse(regexp_replace(reverse(w[1:length(w) - 3]), '([0-9]{2})', '\\1,', 'g')), '^,', '') || ',' || right(w, 3) END || '.' || f AS text FROM parts""",
+    "budget_rows_once": _with(LONG, SPEND) + "SELECT user_id, category, month, spent_paise FROM spend",
+    "split_checked": """WITH w AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS weight, CAST(round(o_totalprice * -100) AS BIGINT) AS total, CAST(sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey) AS BIGINT) AS whole FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+), r AS (SELECT *, (total * weight % whole + whole) % whole AS rest FROM w), b AS (SELECT *, (total * weight - rest) // whole AS base FROM r),
+m AS (SELECT *, total - sum(base) OVER (PARTITION BY l_orderkey) AS missing, row_number() OVER (PARTITION BY l_orderkey ORDER BY rest DESC, l_linenumber, l_partkey, l_suppkey, weight) AS place FROM b)
+SELECT l_orderkey, l_linenumber, base + CASE WHEN place <= missing THEN 1 ELSE 0 END AS share_paise FROM m""",
+    "amount_types": _with(TXN) + "SELECT seq, CASE WHEN seq % 6 IN (0, 5) THEN amount_paise END AS amount_paise FROM txn",
+}

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallowmere.functions import columns as c
-from tallowmere.operators import balances, budgets, classify, entities, identity, ledger, resolve
+from tallowmere.operators import balances, budgets, classify, entities, identity, ledger, resolve, series
 from tallowmere.plans.oracles import ORACLE
 from tallowmere.schema import CATEGORIES, EXPENSE
 from tallowmere.sources import commits, folders, folds, log, rendered, snapshots, staging, statements, views
@@ -651,3 +651,109 @@ def late_decryption(spark, d):
     routed = log.as_events(txn).join(txn.select("user_id", "seq", "value_date"), ["user_id", "seq"])
     opened = log.open_by_key(log.seal_by_key(routed, whole), keys).where("aggregate_id LIKE 'SAV%' AND value_date < DATE '2024-01-16'")
     return opened.groupBy("user_id", "aggregate_id").agg(F.count("*").alias("n"), F.count("payload").alias("readable"), F.sum(log.field("amount_paise", "bigint")).alias("net_paise"))
+
+
+def _sid(unit="week"):
+    return F.concat_ws("/", "account_ref", F.col("user_id").cast("string"), F.date_format(F.trunc("value_date", unit), "yyyy-MM-dd"))
+
+
+@query
+def pairings_with_periods(spark, d):
+    """Decisions with role, hash, account and statement period of both legs; every seventh statement isn't known."""
+    rows = identity.with_identity(_txn(spark, d)).withColumn("ingestion_event_id", _sid())
+    out = ledger.pairing_report(resolve.resolve(rows), rows, views.statement_periods(_txn(spark, d)).where("seq % 7 <> 0"))
+    part = lambda k, side: [F.col("legs")[k][c].alias(f"{side}_{c}") for c in ("role", "idempotency_hash", "account_ref", "period_start", "period_end")]
+    return out.select("user_id", "matched_by", "confidence", "value_date", "debit_seq", "credit_seq", *part(0, "first"), *part(1, "second"))
+
+
+@query
+def sync_report(spark, d):
+    """Printed statements with their counts by when they were made, newest first, stalled ones after 35 days."""
+    heads = statement_headers(spark, d).where("reason IS NULL").join(views.statements(_txn(spark, d)).select(F.col("ingestion_event_id").alias("statement_id"), "user_id", "seq"), "statement_id")
+    made = F.expr("timestamp'2024-03-20 00:00:00' - make_interval(0, 0, 0, seq * 13 % 80, 0, 0, 0)")
+    fine = F.col("balance_check") != "fail"
+    out = heads.select("user_id", F.col("statement_id").alias("ingestion_event_id"), "account_ref", "layout", "period_start", "period_end", F.when(fine, "ingested").otherwise("rejected").alias("status"), F.when(fine, F.col("row_count")).otherwise(0).alias("records_added"), F.lit(0).cast("bigint").alias("records_skipped"), "balance_check", "confidence", made.alias("created_at"))
+    return ledger.sync_report(out, F.expr("timestamp'2024-03-20 00:00:00'")).drop("created_at").withColumn("n", F.lit(1))
+
+
+@query
+def overlap_pairs(spark, d):
+    """Statements of one account whose periods meet: weeks and the months around them."""
+    txn = _txn(spark, d)
+    months = txn.groupBy("user_id", "account_ref", F.trunc("value_date", "month").alias("period_start")).agg(F.max("seq").alias("seq"))
+    months = months.select(F.concat_ws("/", "account_ref", F.col("user_id").cast("string"), F.date_format("period_start", "yyyy-MM-dd"), F.lit("month")).alias("ingestion_event_id"), "user_id", "account_ref", "period_start", F.last_day("period_start").alias("period_end"), F.lit("ingested").alias("status"))
+    return ledger.overlap_pairs(views.statement_periods(txn).select(months.columns).unionByName(months))
+
+
+@query
+def dashboard_series(spark, d):
+    """Seven series by month, quarter and fiscal year, every user's periods without gaps."""
+    return series.series(views.ledger_long(spark, d).withColumn("merchant", F.concat(F.lit("Shop "), F.col("seq") % 23)), "merchant")
+
+
+@query
+def dashboard_series_selected(spark, d):
+    """The same for one stretch of days, which all series share."""
+    return series.series(views.ledger_long(spark, d).withColumn("merchant", F.concat(F.lit("Shop "), F.col("seq") % 23)), "merchant", "1995-02-10", "1996-05-20", 3)
+
+
+def _sure_by_length(texts):
+    """A stand-in for a model: the first word, surer of longer texts."""
+    return [(t.split(" ")[0].title(), 6000 + 400 * (len(t) % 10)) for t in texts]
+
+
+@query
+def model_decisions(spark, d):
+    """Merchants that no rule knows, asked for once by text; the second half of the rows asks only for what is new to it."""
+    rows = _named(spark, d).withColumn("text", F.when(F.col("merchant").isNull(), F.concat_ws(" ", F.upper("narration"), (F.col("seq") % 211).cast("string"))))
+    half = rows.agg(F.expr("(min(seq) + max(seq)) div 2")).first()[0]
+    path = folders.shared(spark, "answers")
+    for number in range(2):
+        stored = spark.read.schema(classify.ANSWER).parquet(path) if number else spark.createDataFrame([], classify.ANSWER)
+        asked = rows.where(F.col("seq") <= half) if number == 0 else rows
+        classify.ask_once(asked, stored, _sure_by_length, "merchant", "v1").write.mode("append").parquet(path)
+    stored = spark.read.schema(classify.ANSWER).parquet(path)
+    times = stored.groupBy("text").agg(F.count("*").alias("asked"))
+    out = classify.with_answers(rows, stored, "text", "merchant", "merchant", "v1", classify.MERCHANT_LEAST)
+    return out.join(times, "text", "left").select("user_id", "seq", "merchant", "merchant_confidence", "merchant_review", "asked")
+
+
+@query
+def statement_dates(spark, d):
+    """Order dates as each layout prints dates, and back; every tenth is no date."""
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
+    kind = F.pmod("o_orderkey", F.lit(4))
+    shown = F.when(kind == 0, F.date_format("day", "dd/MM/yyyy")).when(kind == 1, F.date_format("day", "dd/MM/yy")).when(kind == 2, F.date_format("day", "d MMM\nyyyy")).otherwise(F.date_format(F.add_months("day", 360), "d MMM ''yy"))
+    shown = F.when(F.col("o_orderkey") % 10 == 9, F.lit("45/13/2024")).otherwise(shown)
+    back = F.when(kind == 0, statements._date(shown, "dd/MM/yyyy")).when(kind == 1, statements._date(shown, "dd/MM/yy")).when(kind == 2, statements._date(shown, "d MMM yyyy")).otherwise(statements._spelled_year(shown))
+    return o.select("o_orderkey", back.alias("value_date"))
+
+
+@query
+def rupee_text(spark, d):
+    rows = views.ledger_long(spark, d)
+    return rows.select("seq", c.indian_grouping(F.col("amount_paise") * (1 + F.col("seq") % 997)).alias("text"))
+
+
+@query
+def budget_rows_once(spark, d):
+    """Spend of rows that came several times, each identity once; all of its rows must agree."""
+    rows = views.ledger_long(spark, d).withColumn("idempotency_hash", F.sha2(F.col("seq").cast("string"), 256))
+    again = rows.where("seq % 3 = 0").withColumn("seq", F.col("seq") + 1000000000)
+    return budgets.net_spend(budgets.checked_once(rows.unionByName(again), "idempotency_hash"))
+
+
+@query
+def split_checked(spark, d):
+    """Totals split by weight, of orders whose weights are fit for it."""
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.round(F.col("o_totalprice") * -100).cast("bigint").alias("total"))
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("bigint").alias("weight")).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    return log.split_by_weight(log.fit_to_split(rows, "l_orderkey"), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "weight"]).select("l_orderkey", "l_linenumber", "share_paise")
+
+
+@query
+def amount_types(spark, d):
+    """Amounts in payloads that are whole numbers, and what else stands there: text, fractions, truth values, nothing."""
+    k = F.pmod("seq", F.lit(6))
+    raw = F.when(k == 1, F.concat(F.lit('"'), F.col("amount_paise"), F.lit('"'))).when(k == 2, F.concat(F.col("amount_paise").cast("string"), F.lit(".5"))).when(k == 3, F.lit("true")).when(k == 4, F.lit("null")).otherwise(F.col("amount_paise").cast("string"))
+    return _txn(spark, d).select("seq", log.whole_number(F.concat(F.lit('{"amount_paise":'), raw, F.lit("}")), "amount_paise").alias("amount_paise"))

@@ -49,6 +49,12 @@ def field(name: str, kind: str = "string") -> Column:
     return F.get_json_object("payload", f"$.{name}").cast(kind).alias(name)
 
 
+def whole_number(payload: Column, name: str) -> Column:
+    """A field that is a whole number in the JSON text itself; null for texts, fractions, truth values and absent ones."""
+    bare = F.regexp_extract(payload, rf'"{name}"\s*:\s*(-?[0-9]+)\s*[,}}]', 1)
+    return F.when(bare != "", bare.try_cast("bigint"))
+
+
 def upcast(events: DataFrame) -> DataFrame:
     """Every payload brought up, version by version, as far as the chain of its type reaches."""
     for version in range(1, VERSION):
@@ -153,6 +159,14 @@ def latest_snapshot(spark: SparkSession, path: str, name: str) -> DataFrame:
     return rows.where(F.col("up_to") == last)
 
 
+def fit_to_split(rows: DataFrame, key: str) -> DataFrame:
+    """`rows`, an error where a weight is missing or negative or all weights of a key are zero."""
+    whole = F.sum("weight").over(W.partitionBy(key))
+    wrong = F.when(F.coalesce(F.col("weight"), F.lit(-1)) < 0, "a weight is negative").when(F.col("_whole") <= 0, "no weight is positive")
+    out = rows.withColumn("_whole", whole)
+    return out.where(F.when(wrong.isNull(), True).otherwise(F.raise_error(wrong).cast("boolean"))).drop("_whole")
+
+
 def split_by_weight(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """share_paise: `total` split by `weight` within `key`, exactly; the largest remainders get what rounding down leaves."""
     whole = F.sum("weight").over(W.partitionBy(key))
