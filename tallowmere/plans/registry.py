@@ -536,9 +536,12 @@ def effective_nature(spark, d):
 
 
 def _extracted(spark, d):
-    """Every week of the ledger as a printed statement: texts, cells, words."""
+    """Every week of the ledger as a printed statement, put into a folder and read from there: texts, cells, words."""
     heads, rows = rendered.printed(_txn(spark, d))
-    return rendered.texts(heads, rows), rendered.cells(rows), rendered.words(rows)
+    path = folders.shared(spark, "statements")
+    for unit, lines in (("texts", rendered.texts(heads, rows)), ("cells", rendered.cells(rows)), ("words", rendered.words(rows))):
+        lines.write.json(f"{path}/{unit}")
+    return tuple(statements.lines_of(spark, f"{path}/{unit}", unit) for unit in ("texts", "cells", "words"))
 
 
 def _layout(one):
