@@ -44,13 +44,19 @@ BROADCAST_ROWS = 200_000
 # HTML's elements by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-DROPPED = frozenset("script style noscript template head title nav footer aside form button select option textarea input label iframe object embed svg canvas audio video menu dialog map math".split())
+DROPPED = frozenset("script style noscript template head title nav footer aside form select option textarea input iframe object embed svg canvas audio video menu dialog map".split())
+# Elements that are words of a sentence where text stands beside them, else controls.
+WORDED = frozenset(["button", "label"])
 PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody thead blockquote pre figcaption".split())
 WHOLE = frozenset("body html article main".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 # Words in class names and ids of what isn't the article, and words that may stand beside them.
 NOISE = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline-share comment comments commentlist consent cookie cookies disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination paywall popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar tracking".split())
 BESIDE = frozenset("area bar block bottom box buttons column container content desktop fixed global icons inner item items left link links list lower main mobile outer page primary right secondary section site slot sticky top unit upper wrap wrapper".split())
+# Words beside `comment` in names of what isn't comments, but says whether there are any.
+STATES = frozenset("no has with without open opened closed enabled disabled allow allowed".split())
+#: Words of paragraphs that make a form a part of the page and not a form to fill in.
+FORM_WORDS = 50
 CLOSES_P = BLOCKS - frozenset(["body", "html"])
 SPACE = re.compile(r"\s+")
 MASK = (1 << 64) - 1
@@ -64,11 +70,13 @@ def _hash(state: int, text: str) -> int:
 
 
 def named_noise(names: str) -> bool:
-    """Whether a class name or id says that this isn't the article: `site-footer` does, `post-header` doesn't."""
+    """Whether a class name or id says that this isn't the article: `site-footer` and `reader-comments` do, `post-header` doesn't."""
     for name in names.lower().split():
         words = [w for w in re.split(r"[_-]+", name) if w]
         if not NOISE.isdisjoint(words) and all(w in NOISE or w in BESIDE for w in words):
             return True
+        if any(w.startswith("comment") for w in words) and STATES.isdisjoint(words):
+            return True
     return False
 
 
@@ -144,18 +152,44 @@ def parse(html: str) -> Node:
     return tree.root
 
 
+def below(node: Node):
+    """The elements under one."""
+    stack = [c for c in node.children if not isinstance(c, str)]
+    while stack:
+        n = stack.pop()
+        yield n
+        stack.extend(c for c in n.children if not isinstance(c, str))
+
+
+def is_page_part(form: Node) -> bool:
+    """Whether a form wraps a part of the page, as some sites wrap all of it: an article, a first heading, or many words in paragraphs."""
+    words = 0
+    for n in below(form):
+        if n.main or n.tag == "h1":
+            return True
+        if n.tag == "p":
+            words += sum(len(c.split()) for c in n.children if isinstance(c, str))
+    return words >= FORM_WORDS
+
+
+def has_text(node: Node) -> bool:
+    return any(isinstance(c, str) and c.strip() for c in node.children)
+
+
 def main_nodes(root: Node) -> set[int]:
-    """Which elements hold the main text, by identity: all articles, else main, else the whole page."""
-    for tags in (("article",), ("main", "div", "section")):
-        found, stack = set(), [root]
-        while stack:
-            n = stack.pop()
-            if n.main and n.tag in tags:
-                found.add(id(n))
-            else:
-                stack.extend(c for c in n.children if not isinstance(c, str) and (not c.noise or c.main) and not c.named)
-        if found:
-            return found
+    """Which elements hold the main text, by identity: all articles, else main, else the same below forms and noisy names, else the whole page."""
+    for deep in (False, True):
+        for tags in (("article",), ("main", "div", "section")):
+            found, stack = set(), [root]
+            while stack:
+                n = stack.pop()
+                if n.main and n.tag in tags:
+                    found.add(id(n))
+                else:
+                    wrapper = lambda c: deep and not c.main and c.tag in ("div", "section", "form", "table", "tbody", "tr", "td", "center", "span")
+                    stack.extend(c for c in n.children if not isinstance(c, str) and (((not c.noise or c.main) and not c.named) or wrapper(c)))
+            if found:
+                return found
     return {id(root)}
 
 
@@ -196,7 +230,8 @@ class Page:
                         line.append(" ")
                 elif c.tag not in ("script", "style"):
                     entered = id(c) in mains
-                    out = skipped or (inside and ((c.noise and not c.main) or (c.main and c.named) or (whole and c.tag == "header")))
+                    noise = c.noise and not (c.tag == "form" and not c.named and is_page_part(c)) or (c.tag in WORDED and not has_text(n))
+                    out = skipped or (inside and ((noise and not c.main) or (c.main and c.named) or (whole and c.tag == "header")))
                     below = element
                     if c.block:
                         if inside:
