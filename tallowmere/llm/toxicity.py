@@ -37,6 +37,8 @@ from pyspark.sql import types as T
 
 from tallowmere.llm.common import keep, text_or_empty
 
+#: Tasks that the labelled rows are dealt to for the trees.
+PARTS = 8
 MAX_LABELLED, MAX_TERMS, TREES, DEPTH = 100_000, 4_096, 20, 4
 STEMS = (4, 5, 6)
 #: Of a lexicon's terms: documents at least, standard deviations at least; letters of the words that tell copies.
@@ -105,7 +107,7 @@ def _labelled(labels: DataFrame, id_col: str, label_col: str, max_labelled: int)
 def learn_lexicon(rows: DataFrame, max_terms: int) -> tuple[frozenset, frozenset]:
     """Terms of (text, label) rows by certainty: hardly ever seen in clean texts, and well above their rate there."""
     long_words = F.filter(F.split("text", " "), lambda w: F.length(w) >= LONG)
-    rows = rows.withColumn("copy", F.coalesce(F.array_min(F.transform(long_words, lambda w: F.xxhash64(w))), F.xxhash64("text"))).dropDuplicates(["copy", "label"])
+    rows = rows.withColumn("copy", F.coalesce(F.array_min(F.transform(long_words, lambda w: F.xxhash64(w))), F.xxhash64("text"))).groupBy("copy", "label").agg(F.min("text").alias("text"))
 
     def terms(batches):
         for b in batches:
@@ -154,13 +156,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("text")).join(sample, "_id")
     rows = keep(rows.select("_id", "text", "label", "part"), "labelled")
     lexicon = learn_lexicon(rows.where("part > 0"), MAX_TERMS)
-    known = keep(featured(rows, lexicon, ["label", "part"]), "features")
+    known = keep(featured(rows, lexicon, ["_id", "label", "part"]), "features")
     share = known.agg(F.avg("label")).first()[0] or 0.0
     split = {(r.fit, r.label) for r in known.select((F.col("part") > 0).alias("fit"), "label").distinct().collect()}
     if len(split) < 4:
         return lexicon, None, None, share
-    vectors = _assembled(known)
-    trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=10, subsamplingRate=0.8, stepSize=0.2).fit(vectors.where("part > 0").coalesce(8))
+    # Trees sample rows by their place, so rows are dealt by id and sorted: the same trees however the tables are laid out.
+    dealt = known.repartition(PARTS, "_id").sortWithinPartitions("_id", "dense")
+    vectors = _assembled(dealt).drop("_id")
+    trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=10, subsamplingRate=0.8, stepSize=0.2).fit(vectors.where("part > 0"))
     held = trees.transform(vectors.where("part = 0")).select(vector_to_array("probability")[1].alias("p"), F.col("label").cast("double").alias("label"))
     calibration = IsotonicRegression(featuresCol="p", labelCol="label", predictionCol="calibrated").fit(held)
     return lexicon, trees, calibration, share

@@ -209,3 +209,35 @@ def test_audit_equals_plain_code(spark, docs, labels, nothing, monkeypatch):
     assert {tuple(r) for r in filter_audit.audit(docs, labels).collect()} == want
     assert filter_audit.audit(nothing, labels).count() == 0
     assert {tuple(r) for r in filter_audit.audit(docs, labels.limit(0)).collect()} == plain_audit(rows, [])
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<form><div><article><p>Long text</p></article></div></form>", "Long text"),
+        ("<form><h1>Title</h1><p>One</p><input><select><option>x</option></select></form>", "Title\nOne"),
+        ("<p>Before</p><form><p>Your name</p><label>Mail</label><input></form>", "Before"),
+        ("<div class='search page'><article><p>x y</p></article></div>", "x y"),
+        ("<div class='search page'><div role='main'><p>x y</p></div></div>", "x y"),
+        ("<article><p>area <math>x</math> done</p><p>see <label>this</label> word</p><p>press <button>OK</button> now</p><button>Share</button></article>", "area x done\nsee this word\npress OK now"),
+        ("<article><p>a</p><div class='reader-comments'>nice</div><div class='user-comment-text'>nice</div></article>", "a"),
+        ("<body class='comments-open'><article class='post has-comments'><p>kept</p></article><article class='comment'><p>no</p></article></body>", "kept"),
+    ],
+)
+def test_pages_in_forms_names_and_inline_words(html, text):
+    from tallowmere.llm.html_text import text_of
+
+    assert text_of(html) == text
+
+
+def test_toxicity_does_not_hang_on_the_layout(spark):
+    from tallowmere.llm import toxicity
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    scores = []
+    for parts, shuffles in ((3, 4), (5, 7)):
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+        scores.append({r.doc_id: r.score for r in toxicity.judge(docs.repartition(parts), labels.repartition(parts)).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", 8)
+    assert scores[0].keys() == scores[1].keys() and len(scores[0]) == 1000
+    assert max(abs(scores[0][k] - scores[1][k]) for k in scores[0]) < 1e-9
