@@ -16,7 +16,8 @@ both sizes together: a size band with one part more than that has an equal part
 4. Components of the verified links. Parts in which several components still meet take a new leader, in
    rounds, as long as a round links at least a tenth of the classes that are left there.
 5. Classes of different components that are still left in a common part are compared where they share one of
-   their rarest shingles, which linked sets must, and so no link between components is lost.
+   their rarest shingles, which linked sets must, and so no link between components is lost. What counts as rare
+   is told by a part of these classes; it decides which pairs meet, not which of them link.
 
 A round costs a part one pair for each member, however many copies there are. In step 5 a class meets others
 only by shingles that are rare among those left; copies that were changed too much to be linked have enough
@@ -49,6 +50,8 @@ BITS = 512
 #: Ids of candidates up to this many are broadcast to pick their texts; beyond, texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 BAND_RATIO = 2
+#: One node in so many is counted for the order of shingles in the last step, and so many shingles are told apart by it.
+ORDER_EVERY, ORDER_MOST = 8, 1_000_000
 
 
 class Bands:
@@ -305,42 +308,63 @@ def _led(members: DataFrame, nodes: DataFrame, percent: int) -> tuple[DataFrame,
     return leaders, keep(pairs.select(F.col("p.leader").alias("a"), F.col("p.node").alias("b"), "parts"), "led")
 
 
+def _frequent(texts: DataFrame, width: int, every: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles, `most` at most, of one node in `every`, sorted, and their counts there: an order to go by, no more."""
+
+    def sets(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                found = [shingle_set(zlib.decompress(t).decode("utf-8", "surrogatepass"), width).view(np.int64) for t in b.slice(at, 512).column("packed").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], ["e"])
+
+    some = texts.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).select("packed").mapInArrow(sets, "e long")
+    counts = keep(some.groupBy("e").agg(F.count("*").alias("c")).where("c > 1"), "frequent")
+    least, held = 2, 0
+    for r in counts.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).toLocalIterator():
+        held += r.n
+        if held > most:
+            least = r.c + 1
+            break
+    rows = counts.where(F.col("c") >= least).orderBy("e").toArrow()
+    discard(counts)
+    return rows.column("e").to_numpy(), rows.column("c").to_numpy()
+
+
 def _rarest(mixed: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
     """Pairs of different components among the nodes of `mixed` that share one of their rarest shingles and may link.
 
-    Linked sets of m and n shingles share at least o = percent / (100 + percent) * (m + n), so with all shingles in
-    one order, the rarest first, the first m - o + 1 of the one and n - o + 1 of the other have one in common. What
-    one set alone has takes places in that order without being emitted, so copies that were each changed much
-    meet nobody. Sizes are told by classes 3 % wide, and a set emits for each class in which its partners may lie.
+    Linked sets of n shingles and of a size that allows it share at least percent / 100 * n of the larger one, so with
+    all shingles in one order, the same for all, the first n - ceil(percent / 100 * n) + 1 of the one and of the
+    other have one in common. The order, rare ones first, comes from counts in a part of the nodes; any order
+    would do, this one has sets meet by shingles that few have. Copies that were each changed much have
+    enough shingles of their own to meet nobody.
     """
+    asked = mixed.select("node", "component").distinct()
+    held = keep(texts.select("node", "n_shingles", "packed").join(asked, "node"), "held")
+    shared = held.sparkSession.sparkContext.broadcast(_frequent(held, width, ORDER_EVERY, ORDER_MOST))
 
-    def sets(batches):
+    def first(batches):
+        known, counts = shared.value
         for b in batches:
             for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                found = [shingle_set(zlib.decompress(t).decode("utf-8", "surrogatepass"), width).view(np.int64) for t in part.column("packed").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(f) for f in found])], pa.int32()), pa.array(np.concatenate(found)))], ["node", "es"])
-
-    asked = mixed.select("node", "component").distinct()
-    held = keep(texts.select("node", "packed").join(asked.select("node"), "node", "left_semi").mapInArrow(sets, "node long, es array<long>"), "sets")
-    # Shuffled once, as the parts are: the nodes' range keeps the column, and the filter on it, alike on both sides.
-    each = held.where("node IS NOT NULL").select("node", F.explode("es").alias("e")).repartition("e")
-    common = each.groupBy("e").agg(F.count("*").alias("c"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("e", "c")
-    order = each.join(common.hint("shuffle_hash"), "e").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "e"))).alias("es"))  # of one text
-    order = order.join(asked, "node").join(nodes.select("node", F.col("n_shingles").alias("n"), *SKETCH), "node")
-    step = math.log(1.03)
-    order = order.withColumn("own", F.expr(f"cast(floor(ln(n) / {step}) as int)"))
-    order = order.withColumn("other", F.explode(F.expr(f"sequence(cast(floor(ln(n * {percent} / 100D) / {step}) as int), cast(floor(ln(n * 100D / {percent}) / {step}) as int))")))
-    least = f"greatest(cast(ceil(n * {percent} / 100D - 1e-9) as long), cast(floor(exp(other * {step}) * (1 - 1e-9)) as long))"
-    first = f"n - ({percent} * (n + {least}) + {99 + percent}) div {100 + percent} + 1 - (n - size(es))"
-    order = order.withColumn("e", F.explode(F.expr(f"transform(slice(es, 1, cast(greatest(0L, {first}) as int)), x -> x.e)"))).drop("es")
-    order = keep(order.withColumnRenamed("n", "n_shingles"), "rarest")
-    a, b = order.alias("a"), order.alias("b")
-    same = (F.col("a.e") == F.col("b.e")) & (F.col("a.own") == F.col("b.other")) & (F.col("a.other") == F.col("b.own"))
-    once = (F.col("a.own") < F.col("b.own")) | ((F.col("a.own") == F.col("b.own")) & (F.col("a.node") < F.col("b.node")))
-    met = a.join(b, same & once & (F.col("a.component") != F.col("b.component")) & _near("a", "b", percent))
-    out = keep(met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "pairs")
-    discard(held, order)
+                part, lists = b.slice(at, 512), []
+                for t in part.column("packed").to_pylist():
+                    found = shingle_set(zlib.decompress(t).decode("utf-8", "surrogatepass"), width).view(np.int64)
+                    place = np.minimum(np.searchsorted(known, found), max(0, len(known) - 1))
+                    rank = np.where(known[place] == found, counts[place], 0) if len(known) else np.zeros(len(found), np.int64)
+                    lists.append(found[np.lexsort((found, rank))[: len(found) - -(-percent * len(found) // 100) + 1]])
+                sizes = [len(x) for x in lists]
+                repeated = [pa.array(np.repeat(part.column(c).to_numpy(), sizes)) for c in ("node", "n_shingles", "component")]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *lists])), *repeated], ["e", "node", "n_shingles", "component"])
+
+    rows = held.mapInArrow(first, "e long, node long, n_shingles long, component long")
+    a, b = rows.alias("a"), rows.alias("b")
+    met = a.join(b, (F.col("a.e") == F.col("b.e")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & F.expr(f"100 * least(a.n_shingles, b.n_shingles) >= {percent} * greatest(a.n_shingles, b.n_shingles)"))
+    met = keep(met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "met")
+    a, b = nodes.alias("x"), nodes.alias("y")
+    near = met.join(a, F.col("a") == F.col("x.node")).join(b, F.col("b") == F.col("y.node")).where(_near("x", "y", percent))
+    out = keep(near.select("a", "b"), "pairs")
+    discard(held, met)
     return out
 
 
