@@ -22,14 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A folder of this application where the session's checkpoints go, which driver and executors share.
 
-    Where the session names none: a temporary folder if all runs in this one process, else the warehouse. It
-    is removed when the program ends.
+    Where the session names none: a temporary folder if all runs in this one process, else an error. It is removed
+    when the program ends.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named and spark.sparkContext.master.startswith("local"):
         named = _OWN.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="tallowmere-")
         _OWN[spark.sparkContext.applicationId] = named
-    named = f"{(named or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/tallowmere-{spark.sparkContext.applicationId}"
+    if not named:
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+    named = f"{named.rstrip('/')}/tallowmere-{spark.sparkContext.applicationId}"
     if named not in _USED:
         _USED.add(named)
         atexit.register(_remove, spark, named)

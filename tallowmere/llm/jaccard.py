@@ -416,7 +416,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     left = docs.join(bounded(gone, BROADCAST_IDS), id_col, "left_anti")
     repeated = keep(rows.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).count().where("count > 1").select(id_col), "repeated")
     if repeated.isEmpty():
-        return left.select(*docs.columns)
+        return left.select(*[F.col(f"`{c}`") for c in docs.columns])
     repeated = bounded(repeated, BROADCAST_IDS)
     once = left.join(repeated, id_col, "left_semi").dropDuplicates([id_col])
-    return left.join(repeated, id_col, "left_anti").unionByName(once).select(*docs.columns)
+    return left.join(repeated, id_col, "left_anti").unionByName(once).select(*[F.col(f"`{c}`") for c in docs.columns])

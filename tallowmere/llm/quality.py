@@ -211,5 +211,5 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, with all their columns, that are kept. Rows are written with their counts rather than joined to verdicts by an id."""
-    carried = docs.select(F.struct(*docs.columns).alias("_row"), F.col("lang"), F.col("source"), F.col(text_col).alias("_whole"))
+    carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("lang"), F.col("source"), F.col(text_col).alias("_whole"))
     return _verdicts(*fit(carried, "_row", "_whole")).where("kept").select("_row.*")

@@ -14,17 +14,19 @@ RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of every document. A null text has no words and fails; nulls of lang or source are a group of their own; repeated rows count each."""
     return judge(table(spark, sf_dir, "documents"))
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A source owns what it holds; its repositories are its parts by language."""
+    """Secrets of every document. A source owns what it holds; its repositories are its parts by language. Null texts are empty, null sources one owner."""
     docs = table(spark, sf_dir, "documents")
     repo = F.to_json(F.struct("source", "lang"))
     return secrets.scan(docs.select("doc_id", "text", "source", repo.alias("repo")), repo_col="repo", owner_col="source")
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page. A null url has neither host nor path and is allowed; repeated rows are judged alike."""
     pages = table(spark, sf_dir, "pages")
     return urls.judge(pages, RULES, urls.tracked(pages))
 

@@ -9,6 +9,7 @@ from tallowmere.llm.common import table
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size, component and class of every document. Null and wordless texts stand alone; rows with equal sets are one class."""
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 

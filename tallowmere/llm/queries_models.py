@@ -12,11 +12,13 @@ QUERY_EVERY, NEAREST = 20, 20
 
 
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every 20th vector. Null, zero and broken vectors and rows without an id take no part; ties go to the smaller id."""
     found = neighbours.search(table(spark, sf_dir, "embeddings"), F.col("id") % QUERY_EVERY == 0, NEAREST)
     return found.select("query_id", "rank", "vec_id", "score")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score and a prediction for every document, null texts as empty ones; without labels of both classes all get the base rate."""
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 

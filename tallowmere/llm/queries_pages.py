@@ -9,6 +9,7 @@ from tallowmere.llm.common import table
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page. A null html is empty and gives an empty text; repeated pages are extracted alike."""
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 

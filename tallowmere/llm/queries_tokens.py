@@ -15,14 +15,17 @@ CAPACITY, END_ID, TOKEN_LIMIT = 1024, 2, 512
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and the text decoded from them. Null texts are empty."""
     return sentencepiece_viterbi.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document. Null texts are empty and have none."""
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), TOKEN_LIMIT)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces with their places in sequences. A null or empty text is its end id alone."""
     return pack(pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), CAPACITY, END_ID), CAPACITY)
 
 

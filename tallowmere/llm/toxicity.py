@@ -184,7 +184,7 @@ def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
 
 def below(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, with all their columns, that score less than `threshold`."""
-    carried = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_whole"))
+    carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text_col).alias("_whole"))
     return score(carried, train(docs, labels, id_col, text_col), "_row", "_whole").where(F.col("score") < threshold).select("_row.*")
 
 

@@ -241,3 +241,22 @@ def test_toxicity_does_not_hang_on_the_layout(spark):
     spark.conf.set("spark.sql.shuffle.partitions", 8)
     assert scores[0].keys() == scores[1].keys() and len(scores[0]) == 1000
     assert max(abs(scores[0][k] - scores[1][k]) for k in scores[0]) < 1e-9
+
+
+ODD_DOCS = "doc_id bigint, text string, lang string, source string, `a.b` string, _row int, score double, distance double, n_chars bigint"
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None, None, None, "x", 1, 0.5, 1.0, 7), (1, None, None, None, "x", 1, 0.5, 1.0, 7), (2, "", "en", "a", None, None, None, None, None), (3, prose(9000, 1), "en", "a", "y", 2, 0.1, 0.2, 3), (None, prose(200, 2), None, "b", "z", 3, None, None, None)]])
+def test_stages_on_odd_tables(spark, rows, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame(rows, ODD_DOCS)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+    left = docs.collect()
+    assert {r.doc_id for r in left} <= {3, None} and all(r["a.b"] in ("y", "z") for r in left)
+    placed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert {r.doc_id for r in placed} == {r.doc_id for r in left}
