@@ -2,6 +2,11 @@
 
 Toxic documents go, then low quality; one document of each group of near copies stays, secrets that look
 live are masked, and what is left is packed into sequences.
+
+Null texts count as empty in every stage and fail the quality rules. Repeated rows are scored and judged each; one
+of them is left after the near copies have gone. Ties of score or distance stay as the stage's own rule says (at the
+threshold a document is toxic; at the cut-off it is kept). An empty table passes through all stages. Further
+columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallowmere.llm import jaccard, packing, quality, secrets, toxicity
-from tallowmere.llm.common import keep, table
+from tallowmere.llm.common import discard, keep, table
 
 TOXIC, CAPACITY, END_ID = 0.7, 1024, 2
 #: Trained scores, robust estimates and token ids are not for SQL; tests hold each stage against plain code.
@@ -49,7 +54,10 @@ STAGES = [("toxicity", drop_toxic), ("quality_rules", drop_low_quality), ("ngram
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; each but the last is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = keep(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)  # nothing reads it any more
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
