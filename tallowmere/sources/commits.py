@@ -58,8 +58,6 @@ def checked(statements: DataFrame, rows: DataFrame, known: DataFrame, strict: bo
     `rows` (ingestion_event_id, user_id, idempotency_hash, ...), `known` (user_id, idempotency_hash) of the log.
     """
     key = ["user_id", "idempotency_hash"]
-    lost = F.raise_error(F.lit("a row has no user or hash")).cast("boolean")
-    rows = rows.where(F.when(F.col("user_id").isNotNull() & F.col("idempotency_hash").isNotNull(), True).otherwise(lost))
     owner = rows.groupBy(*key).agg(F.min("ingestion_event_id").alias("owner"))
     old = known.select(*key).distinct().withColumn("old", F.lit(True))
     marked = rows.join(owner, key).join(old, key, "left").withColumn("fresh", F.col("old").isNull() & (F.col("owner") == F.col("ingestion_event_id")))
@@ -83,6 +81,8 @@ def commit(statements: DataFrame, rows: DataFrame, path: str, batch: str, strict
     """
     spark = statements.sparkSession
     events = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in rows.schema)}, seq bigint, bucket int"
+    if not rows.where("user_id IS NULL OR idempotency_hash IS NULL").isEmpty():
+        raise ValueError("a row has no user or hash")
     for _ in range(TRIES):
         log = markers(spark, path)
         for m in log:
