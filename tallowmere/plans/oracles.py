@@ -383,3 +383,4 @@ m AS (SELECT *, total - sum(base) OVER (PARTITION BY l_orderkey) AS missing, row
 SELECT l_orderkey, l_linenumber, base + CASE WHEN place <= missing THEN 1 ELSE 0 END AS share_paise FROM m""",
     "amount_types": _with(TXN) + "SELECT seq, CASE WHEN seq % 6 IN (0, 5) THEN amount_paise END AS amount_paise FROM txn",
 }
+ORACLE["resolver_streamed"] = ORACLE["resolver_incremental"]

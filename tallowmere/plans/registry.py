@@ -11,6 +11,7 @@ from tallowmere.operators import balances, budgets, classify, entities, identity
 from tallowmere.plans.oracles import ORACLE
 from tallowmere.schema import CATEGORIES, EXPENSE
 from tallowmere.sources import commits, folders, folds, log, rendered, snapshots, staging, statements, views
+from tallowmere.streaming import keyed
 
 QUERIES: dict = {}
 
@@ -760,3 +761,14 @@ def amount_types(spark, d):
     k = F.pmod("seq", F.lit(6))
     raw = F.when(k == 1, F.concat(F.lit('"'), F.col("amount_paise"), F.lit('"'))).when(k == 2, F.concat(F.col("amount_paise").cast("string"), F.lit(".5"))).when(k == 3, F.lit("true")).when(k == 4, F.lit("null")).otherwise(F.col("amount_paise").cast("string"))
     return _txn(spark, d).select("seq", log.whole_number(F.concat(F.lit('{"amount_paise":'), raw, F.lit("}")), "amount_paise").alias("amount_paise"))
+
+
+@query
+def resolver_streamed(spark, d):
+    """Decisions of a stream whose legs are keyed state: the first half of the rows, a restart, then the second half."""
+    txn = _txn(spark, d).select("user_id", "seq", "account_type", "amount_paise", "value_date")
+    half, path = txn.agg(F.expr("(min(seq) + max(seq)) div 2")).first()[0], folders.shared(spark, "stream")
+    for part in (F.col("seq") <= half, F.col("seq") > half):
+        txn.where(part).write.mode("append").parquet(f"{path}/rows")
+        keyed.start(spark, spark.readStream.schema(txn.schema).parquet(f"{path}/rows"), f"{path}/decisions", f"{path}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/decisions")
