@@ -260,7 +260,7 @@ ORACLE |= {
     "effective_nature": _with(LONG, CORRECTED) + f"SELECT user_id, txn, nature FROM (SELECT l.user_id, l.seq AS txn, coalesce(mine, CASE WHEN amount_paise < 0 THEN {NATURES_OF} END) AS nature FROM lng l LEFT JOIN nat ON nat.txn = l.seq AND nat.user_id = l.user_id) WHERE nature IS NOT NULL",
 }
 PRINTED = f"""prt AS (
-  SELECT ingestion_event_id AS statement_id, user_id % 5 AS l, seq % 11 AS fault, CASE WHEN user_id % 5 = 4 THEN 'SLICE_SAV_' || right(lpad(CAST(user_id AS VARCHAR), 12, '0'), 4) ELSE account_ref || '_' || CAST(user_id AS VARCHAR) END AS account,
+  SELECT ingestion_event_id AS statement_id, user_id % 5 AS l, seq % 11 AS fault, CASE WHEN user_id % 5 = 4 THEN 'SLICE_SAV_' || right(lpad(CAST(user_id * 10 + CASE WHEN account_ref LIKE 'SAV%' THEN 1 WHEN account_ref LIKE 'CARD%' THEN 2 ELSE 3 END AS VARCHAR), 12, '0'), 4) ELSE account_ref || '_' || CAST(user_id AS VARCHAR) END AS account,
     ['hdfc_cc', 'sbi_cc', 'hdfc_savings', 'sbi_savings', 'slice_savings'][CAST(user_id % 5 + 1 AS INTEGER)] AS bank, period_start, period_end,
     opening_paise + CASE WHEN user_id % 5 >= 2 THEN 10000000000 ELSE 0 END AS opening, closing_paise + CASE WHEN user_id % 5 >= 2 THEN 10000000000 ELSE 0 END AS printed, row_count, net FROM st
 ), judged AS (
@@ -384,3 +384,7 @@ SELECT l_orderkey, l_linenumber, base + CASE WHEN place <= missing THEN 1 ELSE 0
     "amount_types": _with(TXN) + "SELECT seq, CASE WHEN seq % 6 IN (0, 5) THEN amount_paise END AS amount_paise FROM txn",
 }
 ORACLE["resolver_streamed"] = ORACLE["resolver_incremental"]
+ORACLE |= {
+    "intake_statements": _with(TXN, STATEMENTS, PRINTED) + "SELECT statement_id, st.user_id, CASE WHEN reason IS NOT NULL THEN 'unread' WHEN opening + j.net = closing THEN 'ingested' ELSE 'rejected' END AS status, reason, CASE WHEN reason IS NULL AND opening + j.net = closing THEN j.row_count ELSE 0 END AS records_added, CASE WHEN reason IS NULL AND opening + j.net = closing THEN j.row_count ELSE 0 END AS in_log FROM judged j JOIN st ON st.ingestion_event_id = statement_id",
+    "category_with_model": _with(TXN, MERCHANTS, CORRECTIONS, LEARNED, CLASSIFIED) + "SELECT user_id, seq, coalesce(category, CASE WHEN merchant IS NOT NULL THEN 'food_dining' END) AS category, category IS NULL AND merchant IS NULL AS category_review FROM cls",
+}

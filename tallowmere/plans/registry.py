@@ -10,7 +10,7 @@ from tallowmere.functions import columns as c
 from tallowmere.operators import balances, budgets, classify, entities, identity, ledger, resolve, series
 from tallowmere.plans.oracles import ORACLE
 from tallowmere.schema import CATEGORIES, EXPENSE
-from tallowmere.sources import commits, folders, folds, log, rendered, snapshots, staging, statements, views
+from tallowmere.sources import commits, folders, folds, intake, log, rendered, snapshots, staging, statements, views
 from tallowmere.streaming import keyed
 
 QUERIES: dict = {}
@@ -772,3 +772,25 @@ def resolver_streamed(spark, d):
         txn.where(part).write.mode("append").parquet(f"{path}/rows")
         keyed.start(spark, spark.readStream.schema(txn.schema).parquet(f"{path}/rows"), f"{path}/decisions", f"{path}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{path}/decisions")
+
+
+@query
+def intake_statements(spark, d):
+    """Printed statements taken in: what became of each, and how many of its rows the log holds."""
+    path = folders.shared(spark, "log")
+    owners = views.statements(_txn(spark, d)).select(F.col("ingestion_event_id").alias("statement_id"), "user_id")
+    refused = intake.intake(*_extracted(spark, d), owners, path, "all")
+    report = _commit_report(spark, path).select(F.col("ingestion_event_id").alias("statement_id"), "user_id", "status", F.lit(None).cast("string").alias("reason"), "records_added", "in_log")
+    return report.unionByName(refused.select("statement_id", "user_id", F.lit("unread").alias("status"), "reason", F.lit(0).cast("bigint").alias("records_added"), F.lit(0).cast("bigint").alias("in_log")))
+
+
+@query
+def category_with_model(spark, d):
+    """Categories by learned rules, rules, then stored answers of a stand-in for a model, asked once for each merchant."""
+    rows = _named(spark, d)
+    decided = classify.with_category(rows, classify.learned_rules(_corrections(rows)))
+    decided = decided.withColumn("text", F.when(F.col("category").isNull(), F.col("merchant")))
+    path = folders.shared(spark, "answers")
+    classify.ask_once(decided, spark.createDataFrame([], classify.ANSWER), classify.stub_model("food_dining"), "category", "v1").write.parquet(path)
+    out = classify.with_answers(decided, spark.read.schema(classify.ANSWER).parquet(path), "text", "category", "category", "v1", classify.CATEGORY_LEAST)
+    return out.select("user_id", "seq", "category", "category_review")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallowmere.sources import folders
+
 VERSION = 2
 #: (event type, from version) -> payload of the next version.
 UPCASTERS: dict[tuple[str, int], Callable[[Column], Column]] = {}
@@ -152,11 +154,12 @@ def snapshot(view: DataFrame, path: str, name: str, last_seq: int) -> None:
     view.write.parquet(f"{path}/{name}/up_to={last_seq}")
 
 
-def latest_snapshot(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """The rows of the newest snapshot, with `up_to`, the last event in it."""
-    rows = spark.read.parquet(f"{path}/{name}")
-    last = rows.agg(F.max("up_to")).first()[0]
-    return rows.where(F.col("up_to") == last)
+def latest_snapshot(spark: SparkSession, path: str, name: str) -> DataFrame | None:
+    """The rows of the newest snapshot, with `up_to`, the last event in it; None before the first. `snapshots` checks them too."""
+    found = [int(n.removeprefix("up_to=")) for n in folders.names(spark, f"{path}/{name}") if n.startswith("up_to=")]
+    if not found:
+        return None
+    return spark.read.parquet(f"{path}/{name}/up_to={max(found)}").withColumn("up_to", F.lit(max(found)))
 
 
 def fit_to_split(rows: DataFrame, key: str) -> DataFrame:

@@ -50,7 +50,7 @@ def texts(heads: DataFrame, rows: DataFrame) -> DataFrame:
     word = F.when(F.col("amount_paise") > 0, " Credit").otherwise(" Debit")
     spoken = F.concat(_day("value_date", "dd MMM ''yy"), F.lit("  "), F.col("narration"), word, F.lit(" REF"), F.col("seq").cast("string"), F.lit(" Rs."), _short(F.abs("amount_paise")), F.lit(" ₹"), _short(F.col("balance")), F.lit("\n"))
     lines = rows.where("l = 4").groupBy("statement_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("n", spoken.alias("line")))).getField("line"), "").alias("lines"))
-    number = F.lpad(F.col("user_id").cast("string"), 12, "0")
+    number = F.lpad((F.col("user_id") * 10 + F.when(F.col("account").startswith("SAV"), 1).when(F.col("account").startswith("CARD"), 2).otherwise(3)).cast("string"), 12, "0")
     slice_ = F.concat(marked("Slice Small Finance Bank\n"), unless(6, line("Account Number : ", number)), unless(0, line("Statement Period: ", _day("period_start", "dd MMM ''yy"), " - ", _day("period_end", "dd MMM ''yy"))), unless(1, line("Opening balance Rs.", _short(opening))), F.coalesce("lines", F.lit("")), unless(2, line("Closing balance ₹", _short(closing))))
     hdfc = F.concat(line("AccountNo : ", account), unless(0, line("StatementFrom : ", _day("period_start", "dd/MM/yyyy"), " To : ", _day("period_end", "dd/MM/yyyy"))), F.when(F.col("fault") != 5, F.lit("Date Narration WithdrawalAmt. DepositAmt. ClosingBalance\n")).otherwise(F.lit("")), F.when(F.col("fault") == 0, F.lit("StatementFrom\n")).otherwise(F.lit("")))
     sbi = F.concat(line("Account Number : ", account), F.when(F.col("fault") != 0, line("Account Statement from ", _day("period_start", "d MMM yyyy"), " to ", _day("period_end", "d MMM yyyy"))).otherwise(F.lit("Account statement from\n")), unless(1, line("Balance as on ", _day("period_start", "d MMM yyyy"), " : ", _money(opening))), F.when(F.col("fault") != 5, F.lit("Txn Date Value Date Description\n")).otherwise(F.lit("")))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallowmere.sources import folders
+
 #: Fixed value: seconds that a session lives.
 SESSION_SECONDS = 3600
 ACCEPTED = ["pass", "not_applicable"]
@@ -61,8 +63,10 @@ def commit(batch: dict[str, DataFrame], path: str, batch_id: str) -> None:
     spark.createDataFrame([(batch_id,)], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{path}/done/of={batch_id}")
 
 
-def committed(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """A table's rows of the batches whose marker is there."""
+def committed(spark: SparkSession, path: str, name: str) -> DataFrame | None:
+    """A table's rows of the batches whose marker is there; None before the first."""
+    if not folders.exists(spark, f"{path}/done"):
+        return None
     done = spark.read.option("recursiveFileLookup", "true").schema("batch string").parquet(f"{path}/done")
     rows = spark.read.parquet(f"{path}/{name}").withColumn("batch", F.col("batch").cast("string"))
     return rows.join(done.distinct(), "batch", "left_semi").drop("batch")
