@@ -334,9 +334,10 @@ def _rarest(mixed: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int,
     """Pairs of different components among the nodes of `mixed` that share one of their rarest shingles and may link.
 
     Linked sets of n shingles and of a size that allows it share at least percent / 100 * n of the larger one, so with
-    all shingles in one order, the same for all, the first n - ceil(percent / 100 * n) + 1 of the one and of the
-    other have one in common. The order, rare ones first, comes from counts in a part of the nodes; any order
-    would do, this one has sets meet by shingles that few have. Copies that were each changed much have
+    all shingles in one order, the same for all, they have one in common among the first n - ceil(percent / 100 * n) + 1
+    of each. Of sets of n and m that is so among the first n - o + 1 and m - o + 1, where o is the least they
+    share, which their places tell. The order, rare ones first, comes from counts in a part of the nodes; any
+    order would do, this one has sets meet by shingles that few have. Copies that were each changed much have
     enough shingles of their own to meet nobody.
     """
     asked = mixed.select("node", "component").distinct()
@@ -355,11 +356,15 @@ def _rarest(mixed: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int,
                     lists.append(found[np.lexsort((found, rank))[: len(found) - -(-percent * len(found) // 100) + 1]])
                 sizes = [len(x) for x in lists]
                 repeated = [pa.array(np.repeat(part.column(c).to_numpy(), sizes)) for c in ("node", "n_shingles", "component")]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *lists])), *repeated], ["e", "node", "n_shingles", "component"])
+                places = pa.array(np.concatenate([np.zeros(0, np.int64), *[np.arange(n) for n in sizes]]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *lists])), places, *repeated], ["e", "place", "node", "n_shingles", "component"])
 
-    rows = held.mapInArrow(first, "e long, node long, n_shingles long, component long")
+    rows = held.mapInArrow(first, "e long, place long, node long, n_shingles long, component long")
     a, b = rows.alias("a"), rows.alias("b")
-    met = a.join(b, (F.col("a.e") == F.col("b.e")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & F.expr(f"100 * least(a.n_shingles, b.n_shingles) >= {percent} * greatest(a.n_shingles, b.n_shingles)"))
+    sizes = f"100 * least(a.n_shingles, b.n_shingles) >= {percent} * greatest(a.n_shingles, b.n_shingles)"
+    most = f"({percent} * (a.n_shingles + b.n_shingles) + {99 + percent}) div {100 + percent}"
+    places = f"a.place <= a.n_shingles - {most} AND b.place <= b.n_shingles - {most}"
+    met = a.join(b, (F.col("a.e") == F.col("b.e")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & F.expr(f"{sizes} AND {places}"))
     met = keep(met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "met")
     a, b = nodes.alias("x"), nodes.alias("y")
     near = met.join(a, F.col("a") == F.col("x.node")).join(b, F.col("b") == F.col("y.node")).where(_near("x", "y", percent))
