@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,7 +46,7 @@ def newest(spark: SparkSession, path: str, name: str) -> tuple[DataFrame, int] |
                 df = spark.read.parquet(at)
                 if df.count() == rows:
                     return df, last_seq
-            except PySparkException:
+            except (PySparkException, Py4JJavaError):  # a file that is gone, or is no table
                 continue
     return None
 
