@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallowmere.functions.columns import basis_points
 from tallowmere.operators.classify import nature
 from tallowmere.schema import EXPENSE
 
@@ -29,7 +30,7 @@ def checked_once(rows: DataFrame, identity: str) -> DataFrame:
 def utilisation(budgets: DataFrame, spend: DataFrame) -> DataFrame:
     """spent, remaining and used basis points (rounded down, none for a limit of zero) of every budget."""
     out = budgets.join(spend, ["user_id", "category", "month"], "left").withColumn("spent_paise", F.coalesce("spent_paise", F.lit(0)))
-    share = F.floor(F.col("spent_paise").cast("decimal(30,0)") * 10000 / F.col("target_paise").cast("decimal(20,0)")).cast("bigint")
+    share = basis_points(F.col("spent_paise"), F.col("target_paise"))
     return out.select("user_id", "category", "month", "target_paise", "spent_paise", (F.col("target_paise") - F.col("spent_paise")).alias("remaining_paise"), F.when(F.col("target_paise") > 0, F.greatest(F.lit(0), share)).otherwise(F.lit(0)).cast("bigint").alias("used_bps"))
 
 
@@ -47,7 +48,7 @@ def key_figures(rows: DataFrame, by: list) -> DataFrame:
         total(open_debit, -amount).alias("uncategorised_paise"),
     )
     net = F.col("income_paise") - F.col("expense_paise")
-    rate = F.floor(net.cast("decimal(30,0)") * 10000 / F.col("income_paise").cast("decimal(20,0)")).cast("bigint")
+    rate = basis_points(net, F.col("income_paise"))
     return out.withColumn("net_paise", net).withColumn("savings_bps", F.when(F.col("income_paise") > 0, rate))
 
 

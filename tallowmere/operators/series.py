@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallowmere.functions.columns import basis_points
 from tallowmere.operators.classify import nature
 from tallowmere.schema import EXPENSE
 
@@ -55,7 +56,7 @@ def series(rows: DataFrame, merchant: str, start: str | None = None, end: str |
     by = ["user_id", "grain", "period"]
     whole = spine.join(sums.groupBy(*by).agg(F.sum(F.col("open") + F.col("spent")).alias("expense"), F.sum("income").alias("income")), by, "left").na.fill(0, ["expense", "income"])
     net = F.col("income") - F.col("expense")
-    rate = F.when(F.col("income") > 0, F.floor(net.cast("decimal(30,0)") * 10000 / F.col("income").cast("decimal(20,0)")).cast("bigint"))
+    rate = F.when(F.col("income") > 0, basis_points(net, F.col("income")))
     item = lambda name, key, value: F.struct(F.lit(name).alias("series"), F.lit(key).alias("key"), value.cast("bigint").alias("value"))
     wide = whole.select(*by, F.explode(F.array(item("income_expense", "income", F.col("income")), item("income_expense", "expense", F.col("expense")), item("net_cashflow", "net", net), item("savings_rate", "bps", rate))).alias("i")).select(*by, "i.*")
 
@@ -66,7 +67,7 @@ def series(rows: DataFrame, merchant: str, start: str | None = None, end: str |
         return spine.join(keys, ["user_id", "grain"]).join(mine, [*by, "key"], "left").select(*by, F.lit(name).alias("series"), "key", F.coalesce("value", F.lit(0)).alias("value"))
 
     categories = keyed("category_trend", F.when(F.col("category").isin(EXPENSE), F.col("category")), "spent")
-    share = F.when(F.col("expense") > 0, F.floor(F.col("value").cast("decimal(30,0)") * 10000 / F.col("expense").cast("decimal(20,0)")).cast("bigint"))
+    share = F.when(F.col("expense") > 0, basis_points(F.col("value"), F.col("expense")))
     split = categories.join(whole.select(*by, "expense"), by).select(*by, F.lit("category_split").alias("series"), "key", share.alias("value"))
     natures = keyed("nature_split", nature(F.col("category")), "spent")
     steady = wide.unionByName(categories).unionByName(split).unionByName(natures)

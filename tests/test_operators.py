@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallowmere.functions import columns as c
-from tallowmere.operators import balances, budgets, classify, identity, resolve
+from tallowmere.operators import balances, budgets, classify, identity, resolve, series
 from tallowmere.sources import log, statements
 
 DAY = dt.date(2026, 3, 1)
@@ -34,6 +34,17 @@ def test_round(spark, paise, rounded):
     assert one(spark, c.round_to(F.col("p")), p=paise) == rounded
 
 
+@pytest.mark.parametrize("part,whole,bps", [(3000, 30000001, 0), (30000001, 30000001, 10000), (-1, 30000001, -1), (0, 7, 0)])
+def test_basis_points_just_below_a_whole_number(spark, part, whole, bps):
+    assert one(spark, c.basis_points(F.col("p"), F.col("w")), p=part, w=whole) == bps
+
+
+def test_share_just_below_a_whole_number(spark):
+    rows = spark.createDataFrame([(1, DAY, -3000, "food_dining", "A"), (1, DAY, -29997001, "rent_housing", "B")], "user_id long, value_date date, amount_paise long, category string, merchant string")
+    split = series.series(rows, "merchant").where("series = 'category_split' AND grain = 'month'")
+    assert {r.key: r.value for r in split.collect()} == {"food_dining": 0, "rent_housing": 9999}
+
+
 def test_calendar(spark):
     rows = spark.sql("SELECT explode(array(timestamp_ntz'2026-03-31 23:30:00', timestamp_ntz'2026-03-31 00:00:00')) AS ts")
     assert [r.x for r in rows.select(c.fiscal_year(c.india_time(F.col("ts"))).alias("x")).collect()] == [2026, 2025]
