@@ -195,6 +195,13 @@ def test_model_answers_are_asked_for_once(spark, tmp_path):
     assert classify.ask_once(rows, spark.read.parquet(answers), model, "merchant", "v2").count() == 4
 
 
+def test_a_batch_in_the_log_is_not_read_again(spark, tmp_path):
+    heads, rows = batch_of(spark, "a", ["h1"])
+    assert commits.commit(heads, rows, str(tmp_path), "one") == 1
+    broken = rows.withColumn("idempotency_hash", F.raise_error(F.lit("read")).cast("string"))
+    assert commits.commit(heads, broken, str(tmp_path), "one") == 1
+
+
 def test_keyed_state_equals_the_incremental_resolver(spark, tmp_path):
     from tallowmere.streaming import keyed
 
