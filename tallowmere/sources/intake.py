@@ -15,10 +15,12 @@ def prepared(texts: DataFrame, cells: DataFrame, words: DataFrame, owners: DataF
     """Statements and rows as `commits.commit` takes them, and the statements that don't read, with the reason.
 
     `owners`: (statement_id, user_id); a statement of nobody is left out. The content hash is that of the text. A
-    statement's rows are read once, so what depends on them is written first.
+    statement's headers are written first, as two of the three come from them.
     """
     heads, rows = statements.read(texts, cells, words, layouts)
+    owners = folders.kept(owners, "owners")
     heads = heads.join(owners, "statement_id").join(texts.select("statement_id", F.sha2("text", 256).alias("content_hash")), "statement_id")
+    heads = folders.kept(heads, "heads")
     fine = heads.where("reason IS NULL").select(F.col("statement_id").alias("ingestion_event_id"), "user_id", "layout", "account_ref", "account_type", "period_start", "period_end", "opening_paise", "closing_paise", "balance_check", "confidence", "content_hash")
     kinds = F.create_map(*[F.lit(x) for one in layouts for x in (one.name, one.account_type)])
     legs = rows.join(owners, "statement_id").select(F.col("statement_id").alias("ingestion_event_id"), "user_id", "account_ref", kinds[F.col("layout")].alias("account_type"), "value_date", "amount_paise", "narration", "canonical_narration", "occurrence_index", "running_balance_paise", F.col("pos").alias("source_seq"), "idempotency_hash")
@@ -28,11 +30,8 @@ def prepared(texts: DataFrame, cells: DataFrame, words: DataFrame, owners: DataF
 def intake(texts: DataFrame, cells: DataFrame, words: DataFrame, owners: DataFrame, path: str, batch: str, strict: bool = True) -> DataFrame:
     """Brings a batch of uploads into the log at `path` and gives the statements that don't read, with the reason.
 
-    What was read is written beside the log under a name of its own, and the commit works from that.
+    What was read is written beside the log under names of its own, and the commit works from that.
     """
-    spark, fine = texts.sparkSession, prepared(texts, cells, words, owners)
-    at = folders.shared(spark, "intake")
-    for name, df in zip(("statements", "rows", "refused"), fine):
-        df.write.parquet(f"{at}/{name}")
-    commits.commit(spark.read.parquet(f"{at}/statements"), spark.read.parquet(f"{at}/rows"), path, batch, strict)
-    return spark.read.parquet(f"{at}/refused")
+    fine, rows, refused = prepared(texts, cells, words, owners)
+    commits.commit(fine, folders.kept(rows, "rows"), path, batch, strict)
+    return refused

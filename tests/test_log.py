@@ -202,6 +202,20 @@ def test_a_batch_in_the_log_is_not_read_again(spark, tmp_path):
     assert commits.commit(heads, broken, str(tmp_path), "one") == 1
 
 
+def test_texts_of_statements_are_searched_once(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        asked.add(1)
+        return text
+
+    texts = spark.createDataFrame([(str(k), "Slice Small Finance Bank") for k in range(3)], statements.UNITS["texts"])
+    heads, _ = statements.read(texts.withColumn("text", counted("text")), *(spark.createDataFrame([], statements.UNITS[u]) for u in ("cells", "words")))
+    assert heads.count() == heads.where("reason = 'no account'").count() == 3
+    assert asked.value <= 6  # for the headers, and for rows that are lines of the text
+
+
 def test_keyed_state_equals_the_incremental_resolver(spark, tmp_path):
     from tallowmere.streaming import keyed
 
