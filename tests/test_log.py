@@ -236,6 +236,17 @@ def test_keyed_state_equals_the_incremental_resolver(spark, tmp_path):
     assert decided.count() > 100
 
 
+def test_open_legs_of_a_key_are_one_value(spark, tmp_path):
+    from tallowmere.streaming import keyed
+
+    rows = spark.sql("SELECT 1L AS user_id, id AS seq, 'savings' AS account_type, -100L AS amount_paise, DATE'2024-01-05' AS value_date FROM range(5)")
+    rows.write.parquet(str(tmp_path / "in"))
+    run = keyed.start(spark, spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"))
+    run.awaitTermination()
+    held = [op["numRowsTotal"] for p in run.recentProgress for op in p["stateOperators"] if op["operatorName"].startswith("transformWithState")]
+    assert held and max(held) == 1
+
+
 def keyed_schema():
     return "user_id bigint, debit_seq bigint, credit_seq bigint, matched_by string, confidence int"
 
